@@ -6,28 +6,28 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-# The characters Python's str.strip() and \s take as white space, as a plain
-# string (for trim) and as one regex class. Java's \s and \w are ASCII only, so the patterns
-# below spell their classes out.
+# The characters Python's str.strip() and \s take as white space, for trim and as a
+# regex class. (?U) makes Java's \s the Unicode property, which lacks the four separators; \w is
+# spelled out, since Java's Unicode form also takes combining marks.
 WS_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-WS_SET = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-WS = f"[{WS_SET}]"
+WS_SET = r"\s\x1c-\x1f"
+WS = f"(?U)[{WS_SET}]"
 NON_WS = f"[^{WS_SET}]"
 WORD_SET = r"\p{L}\p{N}_"
 
 # What counts as markup, a URL and an e-mail address.
-URL = rf"https?://{NON_WS}+|www\.{NON_WS}+"
 EMAIL_TLDS = "com|net|org|edu|vn|io|gov|info"
+URL = rf"(?U)https?://{NON_WS}+|www\.{NON_WS}+"
 # Two patterns are written so that one pass over the text is enough, whatever it holds:
 # * an unclosed "<" keeps its text by group 1 and ends the search, so a run of "<" is not rescanned;
 # * an address always starts at the start of a run of non-blanks and its first "@" decides,
 #   so the run is neither retried from each character nor from each "@".
 HTML = r"<[^>]++>|(<[^>]*+)\z"
-EMAIL = rf"(?<!{NON_WS}){NON_WS}[^@{WS_SET}]*+@{NON_WS}+\.(?:{EMAIL_TLDS})"
+EMAIL = rf"(?U)(?<!{NON_WS}){NON_WS}[^@{WS_SET}]*+@{NON_WS}+\.(?:{EMAIL_TLDS})"
 
 
 def fill_text(col: Column) -> Column:
@@ -53,13 +53,25 @@ def normalize_ws(col: Column) -> Column:
     return collapse_ws(nfc(fill_text(col)))
 
 
+def _let(col: Column, fn) -> Column:
+    """Evaluate ``col`` once and hand its value to ``fn``, which may use it several times."""
+    return F.transform(F.array(col), fn)[0]
+
+
+def _replace_where(col: Column, marks: list[str], pattern: str, to: str) -> Column:
+    """Replace only in texts that hold one of the marks: a plain byte search spares most texts the regex."""
+    return _let(col, lambda s: F.when(
+        reduce(lambda a, b: a | b, [s.contains(m) for m in marks]), F.regexp_replace(s, pattern, to)
+    ).otherwise(s))
+
+
 def clean_text(col: Column) -> Column:
     """Line breaks, markup, URLs and e-mail addresses become one space each, then normalize_ws."""
-    s = F.translate(fill_text(col), "\r\n", "  ")
-    s = F.regexp_replace(s, HTML, "$1 ")
-    s = F.regexp_replace(s, URL, " ")
-    s = F.regexp_replace(s, EMAIL, " ")
-    return normalize_ws(s)
+    s = F.replace(F.replace(fill_text(col), F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(" "))
+    s = _replace_where(s, ["<"], HTML, "$1 ")
+    s = _replace_where(s, ["http", "www."], URL, " ")
+    s = _replace_where(s, ["@"], EMAIL, " ")
+    return collapse_ws(nfc(s))
 
 
 def words(col: Column, min_len: int = 1) -> Column:
@@ -68,7 +80,8 @@ def words(col: Column, min_len: int = 1) -> Column:
 
 
 def simple_tokenize(col: Column) -> Column:
-    return words(F.lower(normalize_ws(col)))
+    """Word runs of the normalised, lower-cased text (collapsing white space would not change them)."""
+    return words(F.lower(nfc(fill_text(col))))
 
 
 def ws_tokenize(col: Column) -> Column:

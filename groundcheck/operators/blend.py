@@ -41,32 +41,33 @@ def blend_predict(sources: DataFrame, weights: tuple[float, float, float] | Data
     return blend(sources, weights).withColumn("predict_label", argmax_label(F.col("proba")))
 
 
-def weight_grid(steps: int, start: tuple[float, float, float] = DEFAULT_BLEND) -> list[tuple[int, float, float, float]]:
-    """Points of the weight simplex ``(order, w1, w2, w3)``; the start point has order 0."""
-    total = sum(start)
-    points = [(0, *[w / total for w in start])]
-    points += [
-        (1, i / steps, j / steps, (steps - i - j) / steps) for i in range(steps + 1) for j in range(steps + 1 - i)
-    ]
-    return points
+def with_weight_grid(df: DataFrame, steps: int, start: tuple[float, float, float] = DEFAULT_BLEND) -> DataFrame:
+    """Every row with every point of the weight simplex, and ``ord``: 0 for the start point, else 1.
+
+    The points come from two sequences inside the row's own task, no second table is involved.
+    """
+    at_start = F.col("_i") < 0
+    first = df.withColumn("_i", F.explode(F.sequence(F.lit(-1), F.lit(steps))))
+    rest = first.withColumn("_j", F.explode(F.sequence(F.lit(0), F.when(at_start, 0).otherwise(steps - F.col("_i")))))
+    parts = [F.col("_i"), F.col("_j"), steps - F.col("_i") - F.col("_j")]
+    return rest.withColumns({
+        "ord": F.when(at_start, 0).otherwise(1),
+        **{f"w_{s}": F.when(at_start, w / sum(start)).otherwise(p / steps) for s, w, p in zip(SOURCES, start, parts)},
+    }).drop("_i", "_j")
 
 
 def blend_scores(sources: DataFrame, steps: int = 20, start: tuple[float, float, float] = DEFAULT_BLEND) -> DataFrame:
     """Macro-F1 and accuracy of every grid point on the rows of ``sources`` (which has ``label``).
 
-    The grid is a literal of the plan. Each row meets each point inside the scan and is counted at
-    once, so what is shuffled is at most points x 9 counts per task, never rows x points.
+    Each row meets each point where it lies and is counted at once, so what is shuffled is at most
+    points x 9 counts per task, never rows x points.
     """
-    literal = F.array(*[
-        F.struct(F.lit(o).alias("ord"), *[F.lit(float(w)).alias(f"w_{s}") for s, w in zip(SOURCES, ws)])
-        for o, *ws in weight_grid(steps, start)
-    ])
     weights = [f"w_{s}" for s in SOURCES]
-    points = sources.select("label", *SOURCES, F.inline(literal))
+    points = with_weight_grid(sources.select("label", *SOURCES), steps, start)
     blended = blend_arrays([F.col(s) for s in SOURCES], [F.col(w) for w in weights])
-    voted = points.select("ord", *weights, "label", argmax_label(blended).alias("predict_label"))
+    mixed = points.select("ord", *weights, "label", blended.alias("proba"))
     by = ["ord", *weights]
-    return scores_of_cells(cell_counts(voted, by=by), by)
+    return scores_of_cells(cell_counts(mixed.withColumn("predict_label", argmax_label(F.col("proba"))), by=by), by)
 
 
 def fit_blend_weights(sources: DataFrame, steps: int = 20, start: tuple[float, float, float] = DEFAULT_BLEND) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
 from ..schema import EDA_LABEL_ORDER, LABEL, NEGATION_CUES
-from .ordering import exact_quantiles
+from .ordering import exact_quantiles, value_counts
 
 
 def label_dim(df: DataFrame, order: list[str]) -> DataFrame:
@@ -29,13 +29,19 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     long = df.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
     ).filter(F.col("value").isNotNull())
-    moments = long.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
+    counts = value_counts(long, "value", ["column"])
+    n, x = F.col("n"), F.col("value")
+    means = counts.groupBy("column").agg(
+        F.sum("n").alias("count"), (F.sum(n * x) / F.sum("n")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max")
     )
-    quartiles = exact_quantiles(long, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["column"])
-    return moments.join(F.broadcast(quartiles), "column").select(
-        "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
+    # one row per described column on the broadcast side
+    squares = counts.join(F.broadcast(means), "column").groupBy("column").agg(
+        F.sum(n * (x - F.col("mean")) * (x - F.col("mean"))).alias("squares")
+    )
+    quartiles = exact_quantiles(counts, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["column"])
+    std = F.when(F.col("count") > 1, F.sqrt(F.col("squares") / (F.col("count") - 1)))
+    return means.join(F.broadcast(squares), "column").join(F.broadcast(quartiles), "column").select(
+        "column", "count", "mean", std.alias("std"), "min", "q25", "q50", "q75", "max"
     )
 
 
@@ -63,14 +69,15 @@ def box_stats(df: DataFrame, column: str, label: str = LABEL, order: list[str] =
     known = df.filter(F.col(label).isin(order)).select(
         F.col(label).alias("label"), F.col(column).cast("double").alias("value")
     )
-    quartiles = exact_quantiles(known, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["label"])
-    fenced = known.join(F.broadcast(quartiles), "label").withColumn("_reach", 1.5 * (F.col("q3") - F.col("q1")))
+    counts = value_counts(known, "value", ["label"])
+    quartiles = exact_quantiles(counts, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["label"])
+    fenced = counts.join(F.broadcast(quartiles), "label").withColumn("_reach", 1.5 * (F.col("q3") - F.col("q1")))
     inside = F.col("value").between(F.col("q1") - F.col("_reach"), F.col("q3") + F.col("_reach"))
     return fenced.groupBy("label").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max("q1").alias("q1"), F.max("median").alias("median"), F.max("q3").alias("q3"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-        F.sum((~inside).cast("long")).alias("outliers"),
+        F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.proba import argmax_label, softmax
 from ..schema import LABELS
+from ..session import materialize
 from .eda import label_dim
 from .ordering import running_before
 
@@ -93,9 +94,9 @@ def auc_roc(df: DataFrame, score: str, positive: str, slices: int = 64) -> DataF
     Rows with equal scores are counted first; the running count of negatives is taken slice by
     slice over the score range, so no task ranks the whole table.
     """
-    counts = df.groupBy(F.col(score).cast("double").alias("s")).agg(
+    counts = materialize(df.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.sum(F.col(positive).cast("long")).alias("pos"), F.sum(1 - F.col(positive).cast("long")).alias("neg")
-    )
+    ))
     ranked = running_before(counts, "s", ["neg"], slices=slices)
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")

@@ -9,14 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
+
 
 def top_rows(df: DataFrame, k: int, value: str, tiebreak: str) -> DataFrame:
     """The k rows with the largest integer ``value``; ties by ``tiebreak`` ascending.
 
     A plain ``orderBy.limit`` keeps k rows per partition and merges all of them in one task.
     Here a histogram of the values gives the k-th largest value first; only rows that reach it
-    (k of them, plus ties) are sorted.
+    (k of them, plus ties) are sorted. ``df`` is stored, since it is read twice.
     """
+    df = materialize(df)
     hist = df.groupBy(value).agg(F.count(F.lit(1)).alias("_rows"))
     reached = F.sum("_rows").over(Window.orderBy(F.desc(value)))
     cut = hist.withColumn("_reached", reached).filter(F.col("_reached") >= k).agg(F.max(value).alias("cut"))
@@ -29,8 +32,9 @@ def running_before(
 ) -> DataFrame:
     """Add ``{w}_before``: the sum of ``w`` over all smaller values of the same ``by`` group.
 
-    ``counts`` holds one row per (by, value). ``by`` must be a small fixed domain (labels, column
-    names): one row per group, and ``slices`` rows of offsets per group, are broadcast.
+    ``counts`` holds one row per (by, value) and should be stored: it is read three times. ``by``
+    must be a small fixed domain (labels, column names): one row per group, and ``slices`` rows of
+    offsets per group, are broadcast.
     """
     by = by or []
     quantiles = [i / slices for i in range(1, slices)]
@@ -58,9 +62,13 @@ def running_before(
     )
 
 
-def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], by: list[str]) -> DataFrame:
-    """Quantiles with linear interpolation, one row per group of the small domain ``by``."""
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+def value_counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``(*by, value, n)``, stored: what the order statistics below read instead of the table."""
+    return materialize(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")))
+
+
+def exact_quantiles(counts: DataFrame, value: str, quantiles: dict[str, float], by: list[str]) -> DataFrame:
+    """Quantiles with linear interpolation from ``value_counts``, one row per group of the small domain ``by``."""
     totals = counts.groupBy(*by).agg(F.sum("n").alias("_total"))
     ranked = running_before(counts, value, ["n"], by).join(F.broadcast(totals), by)
 

@@ -66,8 +66,17 @@ def remove_stopwords(tokens: Column, stopwords: list[str]) -> Column:
     return F.filter(tokens, lambda t: ~F.lower(t).isin(stopwords))
 
 
-def drop_stopwords(df: DataFrame, column: str, out: str, stopwords: DataFrame, row_id: str = "id") -> DataFrame:
-    """The same for a stop list of any size, held as a table with one column ``word``."""
+def drop_stopwords(
+    df: DataFrame, column: str, out: str, stopwords: DataFrame, row_id: str = "id", inline_limit: int = 2_000
+) -> DataFrame:
+    """The same for a stop list held as a table with one column ``word``.
+
+    A list of at most ``inline_limit`` words becomes part of the expression, and the texts stay in
+    place. A longer one is an anti-join of the exploded tokens.
+    """
+    listed = [r[0] for r in stopwords.select("word").distinct().limit(inline_limit + 1).collect()]
+    if len(listed) <= inline_limit:
+        return df.withColumn(out, F.array_join(remove_stopwords(tx.ws_tokenize(F.col(column)), listed), " "))
     tokens = df.select(row_id, F.posexplode(tx.ws_tokenize(F.col(column))).alias("pos", "token"))
     kept = (
         tokens.withColumn("word", F.lower("token"))

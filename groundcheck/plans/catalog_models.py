@@ -41,7 +41,7 @@ def fitted(df, lowercase, max_df, max_features):
     """Stored term counts of all rows, and the vocabulary of the training rows."""
     counts = materialize(tfidf.term_counts(df, "text", lowercase, keep=["label", "split"]))
     train = F.col("split") == "train"
-    return counts, tfidf.tfidf_vocab(counts.filter(train), df.filter(train), 2, max_df, max_features)
+    return counts, materialize(tfidf.tfidf_vocab(counts.filter(train), df.filter(train), 2, max_df, max_features))
 
 
 @query("tfidf_terms", sql(["split15"], "SELECT id, term, tf FROM t_counts", LIBRARY))

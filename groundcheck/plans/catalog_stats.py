@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import proba as pr, text as tx
 from ..operators import blend as bl, eda, evaluate as ev, features as ft, models as md, preprocess as pp, runs, sampling, vocab
+from ..session import materialize
 from ..sources import fixtures as fx
 from . import oracle as o
 from .catalog_tables import KNOWN, RULE_REPORT, REPORT_SQL, rule_votes
@@ -277,7 +278,8 @@ VALID_SOURCES = "valid_sources AS (SELECT s.* FROM sources s JOIN split15 v ON v
 def hybrid_train(spark, sf):
     """Fit the weights on the validation rows, report the blend on the same rows."""
     valid = sampling.stratified_split(fx.triplets(spark, sf)).filter("split = 'valid'").select("id", "label")
-    rows = bl.join_sources(sources(spark, sf)).join(valid, "id")
+    # the fit and the report both read these narrow rows: store them once
+    rows = materialize(bl.join_sources(sources(spark, sf)).join(valid, "id"))
     voted = bl.blend_predict(rows, bl.fit_blend_weights(rows))
     return ev.classification_report(voted).select("row", r6("precision"), r6("recall"), r6("f1"), "support")
 

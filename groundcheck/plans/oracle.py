@@ -5,7 +5,10 @@ from __future__ import annotations
 from ..functions import text as tx
 from ..sources.fixtures import CUES, DOTTED, HINTS
 
-WS, NON_WS = tx.WS, tx.NON_WS
+# the same class as text.WS, spelled out for DuckDB's regex engine
+WS_SET = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WS, NON_WS = f"[{WS_SET}]", f"[^{WS_SET}]"
+URL = rf"https?://{NON_WS}+|www\.{NON_WS}+"
 
 
 def quoted(text: str) -> str:
@@ -27,7 +30,7 @@ def strip(x: str) -> str:
 def clean(x: str) -> str:
     # the plain forms of the patterns
     s = f"translate(coalesce({x}, ''), chr(13) || chr(10), '  ')"
-    for pattern in (r"<[^>]+>", tx.URL, rf"{NON_WS}+@{NON_WS}+\.(?:{tx.EMAIL_TLDS})"):
+    for pattern in (r"<[^>]+>", URL, rf"{NON_WS}+@{NON_WS}+\.(?:{tx.EMAIL_TLDS})"):
         s = f"regexp_replace({s}, '{pattern}', ' ', 'g')"
     return norm(s)
 

@@ -63,3 +63,13 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a table that is read in fewer splits than there are cores, by its unique key.
+
+    The text work is CPU-bound, and one small file is one task. A table of any size has more splits
+    than cores and is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import text as tx
 from ..functions.overlap import ngrams
 from ..operators.preprocess import LONGEST_COMPOUND
+from ..session import spread
 
 # Cues that occur in the invented languages of the test tables.
 CUES = ["nicht", "pas", "sin"]
@@ -16,8 +17,14 @@ WORDS = ["nicht", "pas", "onre"]
 DOTTED = tx.WS_CHARS + "."
 
 
+# The text tables and their unique keys.
+TEXT_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; the text tables are spread where one small file holds them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, *TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def _logits(doc_id: Column, n_chars: Column, a: int, b: int, mod: int, scale: float) -> Column:
