@@ -56,7 +56,11 @@ def jaccard(a: str, b: str) -> str:
 
 
 def ngrams(t: str, n: int, glue: str = "chr(1)") -> str:
-    return f"list_transform(range(1, len({t}) - {n} + 2), lambda i: array_to_string({t}[i:i + {n} - 1], {glue}))"
+    if n == 1:
+        return t
+    shifted = ", ".join(f"{t}[{k + 1}:len({t}) - {n - 1 - k}]" for k in range(n))
+    parts = f" || {glue} || ".join(f"z[{k + 1}]" for k in range(n))
+    return f"CASE WHEN len({t}) < {n} THEN [] ELSE list_transform(list_zip({shifted}), lambda z: {parts}) END"
 
 
 def containment(a: str, b: str, n: int) -> str:
