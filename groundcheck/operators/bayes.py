@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.proba import argmax, softmax
 from ..schema import LABELS, id_to_label
+from ..session import broadcast_within
+from .tfidf import MAX_FEATURES
 
 
 def bayes_fit(weights: DataFrame, docs: DataFrame, vocab: DataFrame, alpha: float = 0.1) -> tuple[DataFrame, DataFrame]:
@@ -36,14 +36,14 @@ def bayes_fit(weights: DataFrame, docs: DataFrame, vocab: DataFrame, alpha: floa
 
 def bayes_predict(
     weights: DataFrame, docs: DataFrame, theta: DataFrame, priors: DataFrame, row_id: str = "id",
-    keep: list[str] | None = None,
+    keep: list[str] | None = None, vocab_rows: int = MAX_FEATURES,
 ) -> DataFrame:
     """``(id, *keep, score, proba, predict_label)`` for every row of ``docs``.
 
-    ``theta`` has one row per vocabulary term, bounded by ``max_features``: broadcast.
+    ``theta`` has one row per vocabulary term, at most ``vocab_rows``: broadcast if that is few.
     """
     prior = priors.scalar()
-    scored = weights.join(F.broadcast(theta), "term").groupBy(row_id).agg(
+    scored = weights.join(broadcast_within(theta, vocab_rows), "term").groupBy(row_id).agg(
         *[F.sum(F.col("tfidf") * F.col("theta")[i]).alias(f"s{i}") for i in range(len(LABELS))]
     )
     rows = docs.select(row_id, *(keep or [])).join(scored, row_id, "left").fillna(0.0, [f"s{i}" for i in range(len(LABELS))])

@@ -46,7 +46,7 @@ class VectorSpace:
     def vectors(self, df: DataFrame, column: str, row_id: str = "id", keep: list[str] | None = None) -> DataFrame:
         docs = df.select(row_id, *(keep or []))
         counts = tfidf.term_counts(df, column, self.lowercase, row_id)
-        weights = tfidf.tfidf_weights(counts, self.vocab, row_id)
+        weights = tfidf.tfidf_weights(counts, self.vocab, row_id, self.size)
         return tfidf.tfidf_vectors(weights, self.vocab, docs, self.size, row_id, keep)
 
 

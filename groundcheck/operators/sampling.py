@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PREFIX = 4  # hex digits, so 65,536 prefixes per class
+MAX_CLASSES = 1_000  # tables with one row per class are broadcast, so their number is checked
 
 
 def draw_key(row_id: str, seed: int) -> Column:
@@ -27,7 +28,11 @@ def class_quotas(df: DataFrame, label: str, draws) -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     wanted = counts.select(
         label, "_n", F.sum("_n").over(everything).alias("_total"), F.count(F.lit(1)).over(everything).alias("_k")
-    ).withColumn("_draws", draws(F.col("_total"), F.col("_k")).cast("long"))
+    )
+    too_many = F.raise_error(F.lit(f"more than {MAX_CLASSES} classes")).cast("long")
+    wanted = wanted.withColumn(
+        "_draws", F.when(F.col("_k") > MAX_CLASSES, too_many).otherwise(draws(F.col("_total"), F.col("_k")).cast("long"))
+    )
     shares = wanted.select(
         label, "_draws",
         F.expr("(_n * _draws) div _total").alias("_base"),

@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.overlap import ngrams
 from ..functions.text import fill_text, words
+from ..session import broadcast_within
 from .ordering import top_rows
 
+MAX_FEATURES = 120_000
+
 
 def tfidf_terms(text: Column, lowercase: bool = False) -> Column:
     """Words of at least two characters, and the bigrams of that word list joined by a space."""
@@ -33,7 +36,7 @@ def term_counts(
 
 
 def tfidf_vocab(
-    counts: DataFrame, docs: DataFrame, min_df: int = 2, max_df: float = 1.0, max_features: int = 120_000
+    counts: DataFrame, docs: DataFrame, min_df: int = 2, max_df: float = 1.0, max_features: int = MAX_FEATURES
 ) -> DataFrame:
     """``(term, df, cf, idf)`` of the fitted texts: document-frequency filter, then the most frequent.
 
@@ -46,12 +49,13 @@ def tfidf_vocab(
     return kept.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1.0)
 
 
-def tfidf_weights(counts: DataFrame, vocab: DataFrame, row_id: str = "id") -> DataFrame:
+def tfidf_weights(counts: DataFrame, vocab: DataFrame, row_id: str = "id", vocab_rows: int = MAX_FEATURES) -> DataFrame:
     """Add ``tfidf`` = (1 + ln tf) idf, scaled to unit length per row. Unknown terms are dropped.
 
-    The vocabulary is bounded by ``max_features``, so it is broadcast and the rows stay in place.
+    ``vocab_rows`` bounds the vocabulary (its ``max_features``): a usual one is broadcast and the
+    rows stay in place, a huge one is joined as Spark sees fit.
     """
-    weighted = counts.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn(
+    weighted = counts.join(broadcast_within(vocab.select("term", "idf"), vocab_rows), "term").withColumn(
         "_w", (F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf")
     )
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(row_id)))
@@ -79,7 +83,7 @@ def tfidf_vectors(
 ) -> DataFrame:
     """``(id, *keep, features)``: one sparse vector per row of ``docs``; rows without terms get zeros."""
     entries = (
-        weights.join(F.broadcast(indexed_vocab(vocab).select("term", "term_idx")), "term")
+        weights.join(broadcast_within(indexed_vocab(vocab).select("term", "term_idx"), size), "term")
         .groupBy(row_id)
         .agg(F.array_sort(F.collect_list(F.struct("term_idx", "tfidf"))).alias("_e"))
     )

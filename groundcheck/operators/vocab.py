@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import ws_tokenize
+from ..session import broadcast_within
 from .ordering import top_rows
 
+MAX_SIZE = 20_000
+
 # The two reserved entries.
 PAD, UNK = ("<PAD>", 0), ("<UNK>", 1)
 
 
-def build_vocab(df: DataFrame, column: str, max_size: int = 20_000, min_freq: int = 2) -> DataFrame:
+def build_vocab(df: DataFrame, column: str, max_size: int = MAX_SIZE, min_freq: int = 2) -> DataFrame:
     """``(token, token_id)``: the most frequent tokens from id 2 on, ties by token, plus PAD and UNK."""
     counts = (
         df.select(F.explode(ws_tokenize(F.col(column))).alias("token"))
@@ -27,18 +30,18 @@ def build_vocab(df: DataFrame, column: str, max_size: int = 20_000, min_freq: in
 
 
 def encode_sequence(
-    df: DataFrame, column: str, vocab: DataFrame, max_len: int = 256, row_id: str = "id"
+    df: DataFrame, column: str, vocab: DataFrame, max_len: int = 256, row_id: str = "id", vocab_rows: int = MAX_SIZE
 ) -> DataFrame:
     """``(id, token_ids)``: ids of the first max_len tokens, unknown as 1, padded with 0 on the right.
 
-    The vocabulary is bounded by its ``max_size``, so it is broadcast; a row's tokens are all in one
+    ``vocab_rows`` bounds the vocabulary (its ``max_size``), which is broadcast if small; a row's tokens are all in one
     partition and are put together again before the shuffle (partial aggregation).
     """
     tokens = df.select(
         row_id, F.posexplode_outer(F.slice(ws_tokenize(F.col(column)), 1, max_len)).alias("pos", "token")
     )
     known = vocab.filter(F.col("token_id") > UNK[1])
-    ids = tokens.join(F.broadcast(known), "token", "left").withColumn(
+    ids = tokens.join(broadcast_within(known, vocab_rows), "token", "left").withColumn(
         "slot",
         F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK[1])).alias("token_id"))),
     )

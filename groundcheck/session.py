@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -73,3 +73,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def broadcast_within(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
+    """Broadcast a table known to hold at most ``rows`` rows, if that is few; else leave the join to Spark."""
+    return F.broadcast(df) if rows <= limit else df
