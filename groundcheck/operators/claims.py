@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
+from ..session import materialize
 
 NO_EVIDENCE = "No external evidence found."
 
@@ -18,10 +19,11 @@ def gather_evidence(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """Add ``evidence``: ``[tool] result`` joined by `` | `` in tool order.
 
     ``evidence`` is ``(claim, tool_ord, tool, result)``. It is folded to one row per claim first (as
-    many pieces as there are tools), so the join cannot multiply rows. A claim that many responses
-    repeat makes a skewed partition of the left side only, which AQE splits.
+    many pieces as there are tools), so the join cannot multiply rows. The folded table is stored:
+    the join then has a plain exchange on both sides, which is the form whose skewed partitions AQE
+    splits (a claim that a third of all responses repeat), and a small table is broadcast.
     """
-    found = (
+    found = materialize(
         evidence.filter(F.coalesce(F.col("result"), F.lit("")) != "")
         .groupBy("claim")
         .agg(F.array_sort(F.collect_list(F.struct(

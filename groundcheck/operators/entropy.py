@@ -30,9 +30,12 @@ def _split_by_size(samples: DataFrame, limit: int) -> tuple[DataFrame, DataFrame
     """Prompts that fit a fold, and the rest (None where there is none, the usual case).
 
     Looks at the id column only. The number of answers per prompt is a sampling parameter (5 to 10),
-    so a large group is the exception that must still come out right.
+    so a large group is the exception that must still come out right. The list of large groups is
+    stored: a short one is broadcast, a long one joins by plain exchanges, whose skew AQE splits.
     """
-    large = samples.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("id")
+    large = materialize(
+        samples.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("id")
+    )
     if large.isEmpty():
         return samples, None
     return samples.join(large, "id", "left_anti"), samples.join(large, "id", "left_semi")
@@ -56,9 +59,9 @@ def _rounds(samples: DataFrame, tau: float, block: int) -> DataFrame:
         # row_number() <= block is applied per task before the shuffle (window group limit)
         heads = open_samples.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= block).drop("_n")
         ordered = _ordered(heads).withColumn("_state", vec.greedy_centers(F.col("s"), tau))
-        centers = ordered.select(
+        centers = materialize(ordered.select(
             "id", F.transform(F.array_distinct("_state"), lambda i: F.get(F.col("s"), i)).alias("_centers")
-        )
+        ))
         match = F.filter(
             F.col("_centers"),
             lambda c: (c["sample_idx"] == F.col("sample_idx"))

@@ -17,8 +17,9 @@ def segment_words(df: DataFrame, column: str, out: str, lexicon: DataFrame | Non
 
     ``lexicon`` has one column ``compound`` (2 to 4 words, single spaces). Without one the text
     only has its white space collapsed. Candidates meet the lexicon in an ordinary equi-join, so
-    Spark broadcasts a small lexicon and shuffles a large one. The hits of one row, bounded by its
-    own text, are folded back into it.
+    Spark broadcasts a small lexicon and shuffles a large one (stored, it leaves a plain exchange on
+    both sides, so AQE can split the partition of a very common candidate). The hits of one row,
+    bounded by its own text, are folded back into it.
     """
     tokens = tx.ws_tokenize(F.col(column))
     if lexicon is None:
@@ -35,7 +36,7 @@ def segment_words(df: DataFrame, column: str, out: str, lexicon: DataFrame | Non
         row_id, F.inline(F.concat(*[placed(n) for n in range(2, LONGEST_COMPOUND + 1)]))
     )
     hits = (
-        candidates.join(lexicon.select("compound").distinct(), "compound", "left_semi")
+        candidates.join(lexicon.select("compound"), "compound", "left_semi")
         .groupBy(row_id)
         .agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("n")).alias("rank")))).alias("_hits"))
     )
@@ -80,7 +81,7 @@ def drop_stopwords(
     tokens = df.select(row_id, F.posexplode(tx.ws_tokenize(F.col(column))).alias("pos", "token"))
     kept = (
         tokens.withColumn("word", F.lower("token"))
-        .join(stopwords.select("word").distinct(), "word", "left_anti")
+        .join(stopwords.select("word"), "word", "left_anti")
         .groupBy(row_id)
         .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_kept"))
     )
