@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
+
 PREFIX = 4  # hex digits, so 65,536 prefixes per class
 MAX_CLASSES = 1_000  # tables with one row per class are broadcast, so their number is checked
 
@@ -55,7 +57,8 @@ def _mark(df: DataFrame, label: str, quotas: DataFrame, row_id: str, seed: int)
         .select(label, "_prefix", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_take"))
     )
     order = Window.partitionBy(label).orderBy("_key", "_id")
-    last = (
+    # one row per class, stored: whoever reads the result compares with it and finds it no second time
+    last = materialize(
         keyed.join(F.broadcast(edge), [label, "_prefix"])
         .withColumn("_place", F.row_number().over(order))
         .filter(F.col("_place") == F.col("_take"))
