@@ -6,8 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
-from ..functions import proba as pr, text as tx
-from ..operators import bayes, blend as bl, evaluate as ev, features as ft, models as md, preprocess as pp, sampling, tfidf
+from ..operators import bayes, blend as bl, evaluate as ev, models as md, preprocess as pp, sampling, tfidf
 from ..schema import LABELS
 from ..session import materialize
 from ..sources import fixtures as fx

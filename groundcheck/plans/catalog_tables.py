@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import proba as pr
-from ..operators import blend as bl, contracts, entropy as en, evaluate as ev, features as ft, models as md, preprocess as pp, runs, sampling
+from ..operators import contracts, entropy as en, evaluate as ev, features as ft, models as md, preprocess as pp, runs, sampling
 from ..schema import label_to_id
 from ..session import scratch_path
 from ..sources import fixtures as fx, sinks, tables
-from .oracle import clean, first_max, label_id, norm, quoted, scores_cte, sql
-from .registry import big, joined, query, r6
+from .oracle import first_max, label_id, norm, scores_cte, sql
+from .registry import big, query, r6
 
 
 def rule_votes(spark, sf):
