@@ -250,5 +250,5 @@ def similar_groups(
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are the smallest id of their group, with their own columns. Rows without an id stay."""
     groups = similar_groups(docs, id_col=id_col, text_col=text_col, **options)
-    gone = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id")).distinct()
+    return docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id")).join(gone, "id", "left_anti").select("row.*")

@@ -123,11 +123,5 @@ def judge(
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RULES, base: list[Rule] = BASE_RULES) -> DataFrame:
     """The rows of ``docs`` that pass every rule, with their own columns. Needs no id: a row is judged by its text."""
-    rows = measures(docs, text_col)
-    ok = reduce(lambda a, b: a & b, [_of(r).between(r.low, r.high) for r in [*base, *rules]])
-    return rows.filter(ok).drop("_m")
-
-
-def _of(rule: Rule) -> Column:
-    top = F.col(f"_m.{rule.top}").cast("double")
-    return top if rule.bottom is None else F.coalesce(F.try_divide(top, F.col(f"_m.{rule.bottom}").cast("double")), F.lit(0.0))
+    rows = measures(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("_text")), "_text").select("row", "_m.*")
+    return rows.filter(reduce(lambda a, b: a & b, [r.passed() for r in [*base, *rules]])).select("row.*")
