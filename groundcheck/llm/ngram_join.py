@@ -60,13 +60,13 @@ def set_rows(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInPandas(run, "id long, n long, fp binary")
 
 
-def deal_blocks(docs: DataFrame, n: int, blocks: int, batch: int = 4_000_000) -> DataFrame:
+def deal_blocks(docs: DataFrame, n: int, blocks: int, batch: int = 2_000_000) -> DataFrame:
     """Incidence of distinct sets, in rows (block, batch, kind, a, b, c) of up to a few million entries each.
 
     A task gathers documents until it has ``batch`` entries (or 60,000 documents). N-grams that two different sets of the
     batch share are counted at once and sent on as one entry, so a very common n-gram costs one entry per
     batch and not one per document. An entry is the low 32 bits of the hash below the block's bits and a
-    16-bit place in the batch. Two n-grams of a block can look equal (one in a thousand at 4 million): then a document
+    16-bit place in the batch. Two n-grams of a block can look equal (one in two thousand at 2 million): then a document
     stays in that had no partner, and the exact counts that follow tell; none is lost.
     """
 
@@ -162,13 +162,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def star_pairs(sets: DataFrame) -> DataFrame:
-    """For each set one partner worth a check: the smallest node of the group its least hashes put it in most often.
+    """For each set one partner worth a check: the most central set of the group its least hashes put it in most often.
 
-    One pair per set, whatever the group's size. A set that is linked this way need not be compared with the rest of
-    its group, since only components are asked for; what it leaves out, the exact product finds.
+    Central is a set whose n-grams occur in many sets on average: of a text and its edited copies that is the
+    text they come from. One pair per set, whatever the group's size. A set that is linked this way need not be compared
+    with the rest of its group, since only components are asked for; what it leaves out, the exact product finds.
     """
+    grams = sets.select("node", "n", F.explode("grams").alias("gram"))
+    common = materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
+    weight = materialize(grams.join(common, "gram").groupBy("node").agg((F.sum("df") / F.first("n")).alias("weight")))
     keys = sets.select("node", F.explode("least").alias("key"))
-    centers = materialize(keys.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b <> last").select("key", "b"))
+    ranked = keys.join(weight, "node")
+    centers = materialize(ranked.groupBy("key").agg(
+        F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("top"), F.min("node").alias("first"), F.max("node").alias("last")
+    ).filter("first <> last").select("key", (-F.col("top.node")).alias("b")))
     votes = keys.join(centers, "key").filter("node <> b").groupBy("node", "b").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("node").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m"))
     return best.select(F.col("node").alias("a"), (-F.col("m.b")).alias("b"))
@@ -177,24 +184,28 @@ def star_pairs(sets: DataFrame) -> DataFrame:
 def cross_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets of different components that may reach the threshold: all of them.
 
-    N-grams of one component only are set aside; a set keeps going if the others are at least ``percent`` of
-    it. N-grams are ordered by how many sets hold them, and two sets that reach the threshold must
-    share one of the first size - ceil(percent * size) + 1, where those set aside come first.
+    Sets of n and m entries reach it only with an overlap of at least percent * (n + m) / (100 + percent). N-grams of one
+    component only are set aside; the rest of either set must be as many as that. N-grams are
+    ordered by how many sets hold them, those set aside first. Two sets are compared at the first one they share, and only
+    if what follows it in both is enough for the overlap that their sizes ask for.
     """
     grams = sets.select("node", "n", "component", F.explode("grams").alias("gram"))
     across = materialize(grams.groupBy("gram").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("df")
     ).filter("lo <> hi").select("gram", "df"))
     held = grams.join(across, "gram").groupBy("node", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("held"))
-    most = F.expr(f"cast(n - ceil({percent} * n / 100.0) + 1 as int) - cast(n - size(held) as int)")
-    first = materialize(held.filter(most > 0).select("node", "n", "component", F.explode(F.slice("held", F.lit(1), most)).alias("g")).select("node", "n", "component", F.col("g.gram").alias("gram")))
-    a, b = (first.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("component").alias(f"c{s}"), "gram") for s in "ab")
-    sizes = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-    return a.join(b, "gram").filter((F.col("ca") < F.col("cb")) & sizes).select("a", "b").distinct()
+    prefix = F.expr(f"cast(n - ceil({percent} * n / 100.0) + 1 as int) - cast(n - size(held) as int)")
+    first = held.filter(prefix > 0).select(
+        "node", "n", "component", F.size("held").alias("held"), F.posexplode(F.slice("held", F.lit(1), prefix)).alias("pos", "g")
+    ).select("node", "n", "component", "held", (F.col("held") - F.col("pos")).alias("rest"), F.col("g.gram").alias("gram"))
+    first = materialize(first)
+    a, b = (first.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}{s}") for c in ("n", "component", "rest")], "gram") for s in "ab")
+    enough = (100 + percent) * F.least("resta", "restb") >= percent * (F.col("na") + F.col("nb"))
+    return a.join(b, "gram").filter((F.col("componenta") < F.col("componentb")) & enough).select("a", "b").distinct()
 
 
 def similar_groups(
-    docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = 4_000_000
+    docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = 2_000_000
 ) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, n_shingles, component_id.
 
