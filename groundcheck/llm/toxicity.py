@@ -61,12 +61,13 @@ class WordScores(dict):
         return float(1 / (1 + np.exp(-np.clip(top, -30, 30))))
 
 
-def fit(texts: list[str], labels: np.ndarray, dims: int = 8, warm: int = 4, epochs: int = 6, rate: float = 0.5, batch: int = 128, least_docs: int = 5, decay: float = 3e-3, power: float = 0.3, seed: int = 1) -> Model:
+def fit(texts: list[str], labels: np.ndarray, dims: int = 8, warm: int = 4, epochs: int = 6, rate: float = 0.5, batch: int = 128, least_docs: int = 5, decay: float = 3e-3, power: float = 0.3, updates: int = 600, seed: int = 1) -> Model:
     """Bucket vectors and the two output rows together, by Adagrad on the log loss.
 
     A row of the input is the bag of distinct words of a 64-word window, with the label of its text. After ``warm`` epochs a toxic
     text is its most toxic window only, since a label speaks of the whole text. Toxic rows weigh the class ratio to
-    the power ``power``; buckets of fewer than ``least_docs`` texts stay zero.
+    the power ``power``; buckets of fewer than ``least_docs`` texts stay zero. Few texts are gone over
+    more often, so that there are at least ``updates`` steps.
     """
     labels = np.asarray(labels, dtype=np.float64)
     if not len(labels) or labels.min() == labels.max():  # one class or none: its share, whatever the text
@@ -106,6 +107,8 @@ def fit(texts: list[str], labels: np.ndarray, dims: int = 8, warm: int = 4, epoc
     def logits(rows: np.ndarray) -> np.ndarray:
         return np.concatenate([pooled(part)[0] @ out.T + bias for part in np.array_split(rows, max(1, len(rows) // 2048))])
 
+    again = max(1, math.ceil(updates / (epochs * max(1, len(owner) / batch))))
+    warm, epochs = warm * again, epochs * again
     toxic = labels[owner] == 1
     for epoch in range(epochs):
         use = np.arange(len(owner))
