@@ -161,33 +161,34 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(is_link(F.col("na"), F.col("nb"), overlap, percent)).select("a", "b")
 
 
-def star_pairs(sets: DataFrame) -> DataFrame:
-    """For each set one partner worth a check: the most central set of the group its least hashes put it in most often.
-
-    Central is a set whose n-grams occur in many sets on average: of a text and its edited copies that is the
-    text they come from. One pair per set, whatever the group's size. A set that is linked this way need not be compared
-    with the rest of its group, since only components are asked for; what it leaves out, the exact product finds.
-    """
+def weights(sets: DataFrame) -> DataFrame:
+    """(node, weight): in how many sets a set's n-grams occur, on average. Of a text and its edited copies the text they come from has the most."""
     grams = sets.select("node", "n", F.explode("grams").alias("gram"))
     common = materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
-    weight = materialize(grams.join(common, "gram").groupBy("node").agg((F.sum("df") / F.first("n")).alias("weight")))
-    keys = sets.select("node", F.explode("least").alias("key"))
+    return grams.join(common, "gram").groupBy("node").agg((F.sum("df") / F.first("n")).alias("weight"))
+
+
+def star_pairs(keys: DataFrame, weight: DataFrame) -> DataFrame:
+    """For each node of ``keys`` (node, component, key) one partner worth a check: of the nodes with most weight of each of its keys,
+    the one it meets most often in another component.
+
+    One pair per node, whatever a key's size. A set that is linked this way need not be compared with the rest of
+    its group, since only components are asked for; what it leaves out, the exact product finds.
+    """
     ranked = keys.join(weight, "node")
     centers = materialize(ranked.groupBy("key").agg(
-        F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("top"), F.min("node").alias("first"), F.max("node").alias("last")
-    ).filter("first <> last").select("key", (-F.col("top.node")).alias("b")))
-    votes = keys.join(centers, "key").filter("node <> b").groupBy("node", "b").agg(F.count(F.lit(1)).alias("n"))
+        F.max(F.struct("weight", (-F.col("node")).alias("node"), "component")).alias("top"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    ).filter("lo <> hi").select("key", (-F.col("top.node")).alias("b"), F.col("top.component").alias("of")))
+    votes = keys.join(centers, "key").filter("component <> of").groupBy("node", "b").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("node").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m"))
     return best.select(F.col("node").alias("a"), (-F.col("m.b")).alias("b"))
 
 
-def cross_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets of different components that may reach the threshold: all of them.
+def rare_grams(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, n, component, rest, gram): the n-grams by which a set can meet one of another component, and how many follow each.
 
-    Sets of n and m entries reach it only with an overlap of at least percent * (n + m) / (100 + percent). N-grams of one
-    component only are set aside; the rest of either set must be as many as that. N-grams are
-    ordered by how many sets hold them, those set aside first. Two sets are compared at the first one they share, and only
-    if what follows it in both is enough for the overlap that their sizes ask for.
+    N-grams of one component only are set aside. The others are ordered by how many sets hold them; those set aside
+    come first. Two sets that reach the threshold share one of the first n - ceil(percent * n / 100) + 1.
     """
     grams = sets.select("node", "n", "component", F.explode("grams").alias("gram"))
     across = materialize(grams.groupBy("gram").agg(
@@ -197,15 +198,23 @@ def cross_pairs(sets: DataFrame, percent: int) -> DataFrame:
     prefix = F.expr(f"cast(n - ceil({percent} * n / 100.0) + 1 as int) - cast(n - size(held) as int)")
     first = held.filter(prefix > 0).select(
         "node", "n", "component", F.size("held").alias("held"), F.posexplode(F.slice("held", F.lit(1), prefix)).alias("pos", "g")
-    ).select("node", "n", "component", "held", (F.col("held") - F.col("pos")).alias("rest"), F.col("g.gram").alias("gram"))
-    first = materialize(first)
+    )
+    return materialize(first.select("node", "n", "component", (F.col("held") - F.col("pos")).alias("rest"), F.col("g.gram").alias("gram")))
+
+
+def cross_pairs(first: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of different components that may reach the threshold: all of them.
+
+    Sets of n and m entries reach it only with an overlap of at least percent * (n + m) / (100 + percent). Two sets
+    are compared at the first of the rare n-grams they share, and only if what follows it in both is enough for that.
+    """
     a, b = (first.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}{s}") for c in ("n", "component", "rest")], "gram") for s in "ab")
     enough = (100 + percent) * F.least("resta", "restb") >= percent * (F.col("na") + F.col("nb"))
     return a.join(b, "gram").filter((F.col("componenta") < F.col("componentb")) & enough).select("a", "b").distinct()
 
 
 def similar_groups(
-    docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = 2_000_000
+    docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = 2_000_000, rounds: int = 1
 ) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, n_shingles, component_id.
 
@@ -241,10 +250,17 @@ def similar_groups(
     near = rows.filter(seen_in(nodes.select(F.col("node").alias("id")), ["id"])).join(nodes, F.col("id") == F.col("node")).select("node", "want", "text")
     sets = materialize(near.mapInPandas(sets_of, "node long, n long, grams array<long>, least array<long>").dropDuplicates(["node"]))
 
-    links = materialize(verified(star_pairs(sets), sets, percent))
+    weight = materialize(weights(sets))
+    own = F.coalesce("component", "node").alias("component")
+    by_least = sets.select("node", F.col("node").alias("component"), F.explode("least").alias("key"))
+    links = materialize(verified(star_pairs(by_least, weight), sets, percent))
+    for _ in range(rounds):  # partners by the rare n-grams that still lie in several components
+        placed = sets.join(materialize(components(links)), "node", "left").select("node", "n", own, "grams")
+        by_gram = rare_grams(placed, percent).select("node", "component", F.col("gram").alias("key"))
+        links = materialize(links.unionByName(verified(star_pairs(by_gram, weight), sets, percent)))
     found = materialize(components(links))
-    placed = sets.join(found, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), "grams")
-    more = materialize(verified(cross_pairs(placed, percent), sets, percent))
+    placed = sets.join(found, "node", "left").select("node", "n", own, "grams")
+    more = materialize(verified(cross_pairs(rare_grams(placed, percent), percent), sets, percent))
     if not more.isEmpty():
         found = materialize(components(links.unionByName(more)))
     of_class = materialize(classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component")))

@@ -33,6 +33,8 @@ class Model:
 
     weights: np.ndarray
     bias: float
+    #: The score of a text without words: the share of toxic labels.
+    share: float = 0.0
 
     def word(self, word: str) -> float:
         return float(self.weights[subwords(word)].mean())
@@ -52,12 +54,12 @@ class WordScores(dict):
         return score
 
     def score(self, text: str) -> float:
-        """The largest window's probability; without words that of the bias."""
+        """The largest window's probability; without words the share of toxic labels."""
         words = WORDS.findall(text.lower())
-        top = self.model.bias
-        if words:
-            bags = (set(words[at : at + WINDOW]) for at in range(0, len(words), WINDOW))
-            top += max(math.fsum(map(self.__getitem__, bag)) / max(len(bag), LEAST) for bag in bags)
+        if not words:
+            return self.model.share
+        bags = (set(words[at : at + WINDOW]) for at in range(0, len(words), WINDOW))
+        top = self.model.bias + max(math.fsum(map(self.__getitem__, bag)) / max(len(bag), LEAST) for bag in bags)
         return float(1 / (1 + np.exp(-np.clip(top, -30, 30))))
 
 
@@ -170,13 +172,15 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3,
     texts, toxic = [*sides[0]["text"], *sides[1]["text"]], np.repeat([0, 1], [len(s) for s in sides])
     apart = np.arange(len(texts)) % 5 == 4  # every fifth text calibrates
     model = fit([t for t, a in zip(texts, apart) if not a], toxic[~apart])
-    return calibrate(model, [t for t, a in zip(texts, apart) if a], toxic[apart])
+    model = calibrate(model, [t for t, a in zip(texts, apart) if a], toxic[apart])
+    model.share = known.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, score, predicted. Reads the text alone, whole.
 
-    The broadcast model has a fixed number of buckets (4 MB). Empty and null texts get the score of the bias. Repeated rows
+    The broadcast model has a fixed number of buckets (4 MB). Empty and null texts, and others without words, get the share of toxic labels. Repeated rows
     stay; an empty table gives no rows; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
