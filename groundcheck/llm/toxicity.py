@@ -74,7 +74,7 @@ def fit(texts: list[str], labels: np.ndarray, dims: int = 8, warm: int = 4, epoc
     labels = np.asarray(labels, dtype=np.float64)
     if not len(labels) or labels.min() == labels.max():  # one class or none: its share, whatever the text
         p = np.clip(labels.mean() if len(labels) else 0.0, 0.01, 0.99)
-        return Model(np.zeros(BUCKETS, dtype=np.float32), float(np.log(p / (1 - p))))
+        return Model(np.zeros(BUCKETS, dtype=np.float32), float(np.log(p / (1 - p))), float(p))
     vocabulary: dict[str, int] = {}
     owner, windows = [], []
     for doc, text in enumerate(texts):
