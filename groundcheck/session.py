@@ -36,7 +36,8 @@ def build_session(app: str = "groundcheck", master: str | None = None, **conf: s
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the configured checkpoint folder.
 
-    Only where none is configured (tests, a laptop) a temporary folder is made and set.
+    Only a local master may go without: driver and executors then are one process, and a temporary folder is made and set. On a
+    cluster a machine-local folder would hold a part of the rows per machine, so a missing setting is an error.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if configured:
@@ -44,6 +45,9 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="groundcheck-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
