@@ -32,12 +32,32 @@ def check_label_domain(df: DataFrame, label: str = LABEL) -> DataFrame:
     )
 
 
+def require_known_labels(df: DataFrame, label: str = LABEL, listed: int = 100) -> DataFrame:
+    """Fail with the sorted list of all labels outside the domain; of more than ``listed`` the first ones, and that there are more.
+
+    One aggregation over the label column alone, when the table is read: a check inside a column would vanish with the column.
+    """
+    unknown = [row["label"] for row in check_label_domain(df, label).limit(listed + 1).collect()]
+    if unknown:
+        more = " and more" if len(unknown) > listed else ""
+        raise ValueError(f"Unknown labels found: {unknown[:listed]}{more}")
+    return df
+
+
+def require_partners(df: DataFrame, other: DataFrame, name: str, row_id: str = "id") -> DataFrame:
+    """Fail with the number of rows of ``df`` whose id ``other`` lacks. Only the ids are read and shuffled."""
+    lost = df.select(row_id).join(other.select(row_id), row_id, "left_anti").count()
+    if lost:
+        raise ValueError(f"{lost} rows have no partner in {name}")
+    return df
+
+
 def fill_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.withColumns({c: fill(F.col(c)) for c in columns or TEXT_COLUMNS})
 
 
 def with_label_id(df: DataFrame, label: str = LABEL) -> DataFrame:
-    """Add ``label_id``; a label outside the domain fails the job that reads it, without an extra pass."""
+    """Add ``label_id``; a label outside the domain fails the job that reads the column (all of them: ``require_known_labels``)."""
     text = F.coalesce(F.col(label).cast("string"), F.lit("nan"))
     unknown = F.raise_error(F.concat(F.lit("Unknown labels found: "), text)).cast("int")
     return df.withColumns({label: text, "label_id": F.coalesce(label_to_id(text), unknown)})

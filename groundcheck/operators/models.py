@@ -10,7 +10,6 @@ from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, LogisticRegressionModel,
     MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier,
 )
-from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -162,21 +161,6 @@ def train_and_compare(train: DataFrame, valid: DataFrame, features: int, names:
     return reduce(DataFrame.union, rows).orderBy(F.desc("f1_macro"), "model_name")
 
 
-class MacroF1(Evaluator):
-    """Macro-F1 for Spark ML tuning; the built-in evaluator has only the weighted form."""
-
-    def __init__(self, truth: str = "label_id", pred: str = "prediction"):
-        super().__init__()
-        self.truth, self.pred = truth, pred
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        pair = dataset.select(F.col(self.truth).cast("int").alias("y"), F.col(self.pred).cast("int").alias("p"))
-        return float(scores(pair, "y", "p").first()["macro_f1"])
-
-    def isLargerBetter(self) -> bool:
-        return True
-
-
 def param_sweep(train: DataFrame, valid: DataFrame, estimator, grid: list[dict]) -> DataFrame:
     """``(run_name, macro_f1, accuracy)`` for every parameter setting, scored on the hold-out rows."""
     rows = []

@@ -14,12 +14,16 @@ STEPS = ["init", "final"]
 def neuron_selection(weights: DataFrame, alpha: float = 0.9) -> DataFrame:
     """``(layer, step, in_dim, importance, rank)`` of the selected input neurons of each probe.
 
-    Importance is the mean absolute weight over the outputs. The shortest prefix, by falling
+    Importance is the mean absolute weight over all outputs of the probe; an absent coordinate is a zero. The shortest prefix, by falling
     importance, whose squares reach alpha of the total is kept, at least one neuron. After the
     aggregation a probe has one row per input neuron, so the window is bounded by the model width.
     """
     alpha = min(max(alpha, 0.0), 1.0)
-    importance = weights.groupBy("layer", "step", "in_dim").agg(F.avg(F.abs("w")).alias("importance"))
+    outputs = weights.groupBy("layer", "step").agg(F.count_distinct("out_dim").alias("_outputs"))
+    sums = weights.groupBy("layer", "step", "in_dim").agg(F.sum(F.abs("w")).alias("_sum"))
+    importance = sums.join(outputs, ["layer", "step"]).select(
+        "layer", "step", "in_dim", (F.col("_sum") / F.col("_outputs")).alias("importance")
+    )
     probe = Window.partitionBy("layer", "step")
     order = probe.orderBy(F.desc("importance"), F.asc("in_dim"))
     square = F.col("importance") * F.col("importance")
@@ -55,21 +59,30 @@ def construct_hav(states: DataFrame, selection: DataFrame, layers: list[int]) ->
 
 
 def pack_probes(weights: DataFrame, outputs: DataFrame) -> DataFrame:
-    """``(layer, step, out_dim, w1, b1, w2)``: one weight row per hidden neuron from the coordinate table.
+    """``(layer, step, out_dim, dims, w1, b1, w2)``: one row per hidden neuron, its weights and their input positions.
 
-    ``outputs`` is ``(layer, step, out_dim, b1, w2)``.
+    ``outputs`` is ``(layer, step, out_dim, b1, w2)``. Absent coordinates are zeros; a neuron without any keeps its bias.
     """
     rows = weights.groupBy("layer", "step", "out_dim").agg(
         F.array_sort(F.collect_list(F.struct("in_dim", "w"))).alias("_w")
     )
-    return rows.select("layer", "step", "out_dim", F.col("_w.w").alias("w1")).join(outputs, ["layer", "step", "out_dim"])
+    keys = ["layer", "step", "out_dim"]
+    packed = rows.select(*keys, F.col("_w.in_dim").alias("dims"), F.col("_w.w").alias("w1"))
+    return outputs.select(*keys, "b1", "w2").join(packed, keys, "left").select(*keys, "dims", "w1", "b1", "w2")
 
 
 def _score_block(states: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
     out = states[["id", "layer", "step"]].copy()
-    if states.empty or probe.empty:
-        return out.iloc[:0].assign(score=pd.Series(dtype="float64"))
-    hidden = np.stack(states["h"].to_numpy()) @ np.stack(probe["w1"].to_numpy()).T + probe["b1"].to_numpy()
+    if states.empty:
+        return out.assign(score=pd.Series(dtype="float64"))
+    if probe.empty:
+        raise ValueError(f"no probe for layer {out['layer'].iloc[0]}, step {out['step'].iloc[0]}")
+    inputs = np.stack(states["h"].to_numpy())
+    weights = np.zeros((len(probe), inputs.shape[1]))
+    for row, dims, w in zip(weights, probe["dims"], probe["w1"]):
+        if dims is not None:
+            row[np.asarray(dims)] = w
+    hidden = inputs @ weights.T + probe["b1"].to_numpy()
     z = np.maximum(hidden, 0.0) @ probe["w2"].to_numpy() + float(probe["b2"].iloc[0])
     return out.assign(score=1.0 / (1.0 + np.exp(-z)))
 
@@ -78,7 +91,8 @@ def probe_score(states: DataFrame, probes: DataFrame, bias: DataFrame, rows_per_
     """``(id, layer, step, score)``: sigmoid(w2 . relu(W1 h + b1) + b2) with the probe of the state's layer and step.
 
     States are cut into blocks of about ``rows_per_block`` rows per probe, so a task multiplies one
-    block by one probe whatever the table size; the probe's weights are sent once per block.
+    block by one probe whatever the table size; the probe's weights are sent once per block. Weights stand at their input
+    position, absent ones are zeros. A state whose layer and step have no probe is an error.
     ``bias`` is ``(layer, step, b2)``.
     """
     largest = states.groupBy("layer", "step").count().agg(F.max("count")).first()[0] or 0

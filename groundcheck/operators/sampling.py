@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import materialize
 
 PREFIX = 4  # hex digits, so 65,536 prefixes per class
-MAX_CLASSES = 1_000  # tables with one row per class are broadcast, so their number is checked
 
 
 def draw_key(row_id: str, seed: int) -> Column:
@@ -24,17 +23,15 @@ def class_quotas(df: DataFrame, label: str, draws) -> DataFrame:
     """Rows to draw per class so that they sum to the wanted total: largest remainders first.
 
     ``draws(total, classes)`` gives the wanted total from the table's row and class counts. The
-    result has one row per class.
+    result has one row per class; null is a class like any other. Only the class table, one narrow row per class, is
+    ordered in one place.
     """
     everything = Window.partitionBy()
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     wanted = counts.select(
         label, "_n", F.sum("_n").over(everything).alias("_total"), F.count(F.lit(1)).over(everything).alias("_k")
     )
-    too_many = F.raise_error(F.lit(f"more than {MAX_CLASSES} classes")).cast("long")
-    wanted = wanted.withColumn(
-        "_draws", F.when(F.col("_k") > MAX_CLASSES, too_many).otherwise(draws(F.col("_total"), F.col("_k")).cast("long"))
-    )
+    wanted = wanted.withColumn("_draws", draws(F.col("_total"), F.col("_k")).cast("long"))
     shares = wanted.select(
         label, "_draws",
         F.expr("(_n * _draws) div _total").alias("_base"),
@@ -45,6 +42,15 @@ def class_quotas(df: DataFrame, label: str, draws) -> DataFrame:
     return shares.select(label, (F.col("_base") + (place <= left).cast("long")).alias("quota"))
 
 
+def _by_class(df: DataFrame, classes: DataFrame, label: str, *more: str, how: str = "inner") -> DataFrame:
+    """Join a table with one row per class, and per ``more``; null meets null. Spark sees its size and picks the join."""
+    right = classes.withColumnRenamed(label, "_class").withColumnsRenamed({c: f"_class{c}" for c in more})
+    same = F.col(label).eqNullSafe(F.col("_class"))
+    for c in more:
+        same = same & (F.col(c) == F.col(f"_class{c}"))
+    return df.join(right, same, how).drop("_class", *[f"_class{c}" for c in more])
+
+
 def _mark(df: DataFrame, label: str, quotas: DataFrame, row_id: str, seed: int) -> DataFrame:
     """Add the boolean ``_drawn``. ``quotas`` has one row per class."""
     keyed = df.select(label, F.col(row_id).alias("_id"), draw_key(row_id, seed).alias("_key"))
@@ -52,14 +58,14 @@ def _mark(df: DataFrame, label: str, quotas: DataFrame, row_id: str, seed: int)
     hist = keyed.groupBy(label, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     upto = hist.withColumn("_upto", F.sum("_n").over(Window.partitionBy(label).orderBy("_prefix")))
     edge = (
-        upto.join(F.broadcast(quotas), label)
+        _by_class(upto, quotas, label)
         .filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
         .select(label, "_prefix", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_take"))
     )
     order = Window.partitionBy(label).orderBy("_key", "_id")
     # one row per class, stored: whoever reads the result compares with it and finds it no second time
     last = materialize(
-        keyed.join(F.broadcast(edge), [label, "_prefix"])
+        _by_class(keyed, edge, label, "_prefix")
         .withColumn("_place", F.row_number().over(order))
         .filter(F.col("_place") == F.col("_take"))
         .select(label, F.col("_key").alias("_last_key"), F.col("_id").alias("_last_id"))
@@ -67,7 +73,7 @@ def _mark(df: DataFrame, label: str, quotas: DataFrame, row_id: str, seed: int)
     key = draw_key(row_id, seed)
     drawn = (key < F.col("_last_key")) | ((key == F.col("_last_key")) & (F.col(row_id) <= F.col("_last_id")))
     return (
-        df.join(F.broadcast(last), label, "left")
+        _by_class(df, last, label, how="left")
         .withColumn("_drawn", F.coalesce(drawn, F.lit(False)))
         .drop("_last_key", "_last_id")
     )

@@ -137,12 +137,12 @@ PROMPT_SQL = """'Claim: ' || claim || chr(10) || 'Evidence: ' || evidence || chr
 
 @query("reflection_prompt", sql(["verified"], f"SELECT id, CAST(claim_idx AS BIGINT) AS claim_idx, {PROMPT_SQL} FROM verified"))
 def reflection_prompt(spark, sf):
-    return cl.detect_claims(fx.triplets(spark, sf), fx.evidence(spark, sf)).select("id", big("claim_idx"), "reflection_prompt")
+    return cl.detect_claims(documents(spark, sf), fx.evidence(spark, sf)).select("id", big("claim_idx"), "reflection_prompt")
 
 
 @query("detect_claims", sql(["verified"], f"SELECT id, CAST(claim_idx AS BIGINT) AS claim_idx, claim, evidence, {PROMPT_SQL} FROM verified"))
 def detect_claims(spark, sf):
-    return cl.detect_claims(fx.triplets(spark, sf), fx.evidence(spark, sf)).withColumn("claim_idx", big("claim_idx"))
+    return cl.detect_claims(documents(spark, sf), fx.evidence(spark, sf)).withColumn("claim_idx", big("claim_idx"))
 
 
 @query("collect_ensemble", "SELECT doc_id // 3 AS prompt_id, string_agg(text, chr(9247) ORDER BY doc_id) AS texts FROM documents GROUP BY 1")

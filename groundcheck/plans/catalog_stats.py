@@ -10,7 +10,7 @@ from ..session import materialize
 from ..sources import fixtures as fx
 from . import oracle as o
 from .catalog_tables import KNOWN, RULE_REPORT, REPORT_SQL, rule_votes
-from .oracle import sql
+from .oracle import sql, texts_sql
 from .registry import big, query, r6
 
 
@@ -61,11 +61,11 @@ def _described(column: str, source: str) -> str:
   round(quantile_cont({column}, 0.75), 6) AS q75, round(CAST(max({column}) AS DOUBLE), 6) AS max FROM {source}"""
 
 
-@query("describe", sql(["triplets"], " UNION ALL ".join(
+@query("describe", texts_sql(["triplets"], " UNION ALL ".join(
     [_described(f"{c}_token_len", "lengths") for c in ("context", "prompt", "response")]
     + [_described(f"overlap_{n}gram", "overlap_rows") for n in (1, 2)]), [LENGTHS, *OVERLAPS]))
 def describe(spark, sf):
-    t = ft.ngram_overlap(fx.triplets(spark, sf)).withColumns(
+    t = ft.ngram_overlap(fx.texts(spark, sf)).withColumns(
         {f"{c}_token_len": F.size(tx.ws_tokenize(F.col(c))) for c in ("context", "prompt", "response")}
     )
     d = eda.describe(t, ["context_token_len", "prompt_token_len", "response_token_len", "overlap_1gram", "overlap_2gram"])
@@ -108,20 +108,20 @@ def prediction_distribution(spark, sf):
 
 ALL_TEXT = "context_clean || ' ' || prompt_clean || ' ' || response_clean"
 VOCAB = f"""vocab_counts AS (SELECT token, count(*) AS n FROM (SELECT unnest({o.ws_tokens(ALL_TEXT)}) AS token FROM cleaned) GROUP BY token),
-vocab_top AS (SELECT token, n FROM vocab_counts WHERE n >= 2 ORDER BY n DESC, token LIMIT 1998),
+vocab_top AS (SELECT token, n FROM vocab_counts WHERE n >= 2 ORDER BY n DESC, token LIMIT 19998),
 vocab AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS token_id FROM vocab_top UNION ALL SELECT '<PAD>', 0 UNION ALL SELECT '<UNK>', 1)"""
 
 
 def _all_text(spark, sf):
-    return pp.combine_texts(pp.preprocess(fx.triplets(spark, sf), "llm")).select("id", "text_all")
+    return pp.combine_texts(pp.preprocess(fx.texts(spark, sf), "llm")).select("id", "text_all")
 
 
-@query("build_vocab", sql(["cleaned"], "SELECT token, CAST(token_id AS BIGINT) AS token_id FROM vocab", [VOCAB]))
+@query("build_vocab", texts_sql(["cleaned"], "SELECT token, CAST(token_id AS BIGINT) AS token_id FROM vocab", [VOCAB]))
 def build_vocab(spark, sf):
-    return vocab.build_vocab(_all_text(spark, sf), "text_all", max_size=2000).select("token", big("token_id"))
+    return vocab.build_vocab(_all_text(spark, sf), "text_all").select("token", big("token_id"))
 
 
-@query("encode_sequence", sql(["cleaned"], """
+@query("encode_sequence", texts_sql(["cleaned"], """
 SELECT c.id, array_to_string(list_concat(coalesce(l.ids, []), list_transform(range(0, 256 - coalesce(len(l.ids), 0)), lambda x: 0)), ' ') AS token_ids
 FROM cleaned c LEFT JOIN (
   SELECT s.id, list(coalesce(v.token_id, 1) ORDER BY s.pos) AS ids FROM seq s LEFT JOIN vocab v ON v.token = s.token AND v.token_id > 1 GROUP BY s.id) l ON l.id = c.id""",
@@ -129,7 +129,7 @@ FROM cleaned c LEFT JOIN (
      "seq AS (SELECT id, unnest(range(0, len(t))) AS pos, unnest(t) AS token FROM seq_words)"]))
 def encode_sequence(spark, sf):
     text = _all_text(spark, sf)
-    ids = vocab.encode_sequence(text, "text_all", vocab.build_vocab(text, "text_all", max_size=2000))
+    ids = vocab.encode_sequence(text, "text_all", vocab.build_vocab(text, "text_all"))
     return ids.select("id", F.array_join(F.transform("token_ids", lambda t: t.cast("string")), " ").alias("token_ids"))
 
 
@@ -253,9 +253,9 @@ classes AS (SELECT ord, wc, wt, wr, l, sum(s) AS s, sum(t) AS t, 2 * sum(t) / (s
 fits AS (SELECT ord, wc, wt, wr, avg(f1) AS macro_f1, sum(t) / sum(s) AS accuracy FROM classes GROUP BY ALL)"""
 
 
-@query("blend_scores", sql(["sources"], "SELECT round(wc, 6) AS w_classical, round(wt, 6) AS w_transformer, round(macro_f1, 6) AS macro_f1, round(accuracy, 6) AS accuracy FROM fits WHERE ord = 1", [GRID]))
+@query("blend_scores", sql(["sources"], "SELECT round(wc, 6) AS w_classical, round(wt, 6) AS w_transformer, round(macro_f1, 6) AS macro_f1, round(accuracy, 6) AS accuracy FROM fits", [GRID]))
 def blend_scores(spark, sf):
-    b = bl.blend_scores(labelled_sources(spark, sf)).filter("ord = 1")
+    b = bl.blend_scores(labelled_sources(spark, sf))
     return b.select(r6("w_classical"), r6("w_transformer"), r6("macro_f1"), r6("accuracy"))
 
 

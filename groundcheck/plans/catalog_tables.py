@@ -9,7 +9,7 @@ from ..operators import contracts, entropy as en, evaluate as ev, features as ft
 from ..schema import label_to_id
 from ..session import scratch_path
 from ..sources import fixtures as fx, sinks, tables
-from .oracle import first_max, label_id, norm, scores_cte, sql
+from .oracle import first_max, label_id, norm, scores_cte, sql, texts_sql
 from .registry import big, query, r6
 
 
@@ -66,11 +66,11 @@ def fill_text(spark, sf):
     return contracts.fill_text(turns, ["text"])
 
 
-@query("write_preprocessed", sql(["cleaned"], """
+@query("write_preprocessed", texts_sql(["cleaned"], """
 SELECT id, context_clean, lower(response_clean) AS response_tok, CAST(length(prompt_clean) AS BIGINT) AS prompt_char_len FROM cleaned"""))
 def write_preprocessed(spark, sf):
     path = scratch_path(spark, "preprocessed")
-    sinks.write_preprocessed(pp.preprocess(fx.triplets(spark, sf)), path)
+    sinks.write_preprocessed(pp.preprocess(fx.texts(spark, sf)), path)
     return tables.read_any_csv(spark, path).select("id", "context_clean", "response_tok", big("prompt_char_len")).fillna("")
 
 
@@ -123,7 +123,7 @@ def save_load_model(spark, sf):
     """Train, save, load, predict: rows only, the fit is iterative."""
     train = pp.serialize(fx.triplets(spark, sf))
     path = scratch_path(spark, "model")
-    md.ClassicalModel.fit(train, max_iter=20, max_features=2000).save(path)
+    md.ClassicalModel.fit(train).save(path)
     return md.ClassicalModel.load(spark, path).predict(train).select("id", "predict_label")
 
 

@@ -9,7 +9,7 @@ from ..operators import contracts, features as ft, preprocess as pp
 from ..schema import HANDCRAFTED_FEATURES, RULE_FEATURES
 from ..sources import fixtures as fx
 from . import oracle as o
-from .oracle import sql
+from .oracle import sql, texts_sql
 from .registry import big, joined, query, r6
 
 SEP = "chr(9247)"
@@ -20,9 +20,9 @@ def normalize_ws(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", tx.normalize_ws(F.col("text")).alias("text"))
 
 
-@query("serialize_triplet", sql(["serialized"], "SELECT id, serialized_text FROM serialized"))
+@query("serialize_triplet", texts_sql(["serialized"], "SELECT id, serialized_text FROM serialized"))
 def serialize_triplet(spark, sf):
-    return pp.serialize(fx.triplets(spark, sf)).select("id", "serialized_text")
+    return pp.serialize(fx.texts(spark, sf)).select("id", "serialized_text")
 
 
 @query("clean_text", f"SELECT page_id, {o.clean('html')} AS text FROM pages UNION ALL SELECT -1 - doc_id, {o.clean('text')} FROM documents")
@@ -63,11 +63,11 @@ SEGMENT_EXTRA = [
 ]
 
 
-@query("segment_words", sql(["triplets", "lexicon"], """
+@query("segment_words", texts_sql(["triplets", "lexicon"], """
 SELECT t.id, string_agg(CASE WHEN t.i = 0 THEN '' WHEN g.i IS NOT NULL THEN '_' ELSE ' ' END || t.token, '' ORDER BY t.i) AS text
 FROM seg_tokens t LEFT JOIN seg_glued g ON g.id = t.id AND g.i = t.i GROUP BY t.id""", SEGMENT_EXTRA, recursive=True))
 def segment_words(spark, sf):
-    df = fx.triplets(spark, sf).withColumn("context", tx.normalize_ws(F.col("context")))
+    df = fx.texts(spark, sf).withColumn("context", tx.normalize_ws(F.col("context")))
     return pp.segment_words(df, "context", "text", fx.lexicon(spark, sf)).select("id", "text")
 
 
@@ -107,20 +107,20 @@ def _length_columns():
     return ", ".join(out)
 
 
-@query("preprocess", sql(["cleaned"], f"SELECT id, {_length_columns()} FROM cleaned"))
+@query("preprocess", texts_sql(["cleaned"], f"SELECT id, {_length_columns()} FROM cleaned"))
 def preprocess(spark, sf):
-    df = pp.preprocess(fx.triplets(spark, sf), "baseline")
+    df = pp.preprocess(fx.texts(spark, sf), "baseline")
     columns = []
     for c in ("context", "prompt", "response"):
         columns += [f"{c}_clean", f"{c}_tok", big(f"{c}_char_len"), big(f"{c}_token_len")]
     return df.select("id", *columns)
 
 
-@query("judge_prompt", sql(["cleaned"], """
+@query("judge_prompt", texts_sql(["cleaned"], """
 SELECT id, 'Context: ' || context_clean || chr(10) || 'Question: ' || prompt_clean || chr(10) || 'Model Answer: ' || response_clean || chr(10)
   || 'Is the model answer hallucinated based on the context? (Yes/No):' AS llm_prompt FROM cleaned"""))
 def judge_prompt(spark, sf):
-    return pp.preprocess(fx.triplets(spark, sf), "llm").select("id", "llm_prompt")
+    return pp.preprocess(fx.texts(spark, sf), "llm").select("id", "llm_prompt")
 
 
 @query("answer_prompt", sql(["dialogues"], """
@@ -130,11 +130,11 @@ def answer_prompt(spark, sf):
     return fx.dialogue_triplets(spark, sf).select("id", tx.answer_prompt(F.col("context"), F.col("prompt")).alias("input_text"))
 
 
-@query("combine_texts", sql(["cleaned"], """
+@query("combine_texts", texts_sql(["cleaned"], """
 SELECT id, context_clean || ' ' || prompt_clean || ' ' || response_clean AS text_all, prompt_clean || ' ' || response_clean AS text_pr,
   context_clean || ' ' || response_clean AS text_cr, response_clean AS text_response FROM cleaned"""))
 def combine_texts(spark, sf):
-    df = pp.combine_texts(pp.preprocess(fx.triplets(spark, sf), "llm"))
+    df = pp.combine_texts(pp.preprocess(fx.texts(spark, sf), "llm"))
     return df.select("id", "text_all", "text_pr", "text_cr", "text_response")
 
 
@@ -144,10 +144,10 @@ def run_name(spark, sf):
     return models.select("model_name", big("max_length"), tx.run_name(F.col("model_name"), F.col("max_length")).alias("run_name"))
 
 
-@query("token_jaccard", sql(["triplets"], f"SELECT id, round({o.jaccard('c', 'r')}, 6) AS overlap FROM w", [
+@query("token_jaccard", texts_sql(["triplets"], f"SELECT id, round({o.jaccard('c', 'r')}, 6) AS overlap FROM w", [
     f"w AS (SELECT id, {o.tokens('context')} AS c, {o.tokens('response')} AS r FROM triplets)"]))
 def token_jaccard(spark, sf):
-    t = fx.triplets(spark, sf).select("id", tx.simple_tokenize(F.col("context")).alias("c"), tx.simple_tokenize(F.col("response")).alias("r"))
+    t = fx.texts(spark, sf).select("id", tx.simple_tokenize(F.col("context")).alias("c"), tx.simple_tokenize(F.col("response")).alias("r"))
     return t.select("id", r6(ov.jaccard(F.col("c"), F.col("r")), "overlap"))
 
 
@@ -163,11 +163,11 @@ def ws_jaccard(spark, sf):
 NGRAM_SQL_WORDS = f"w AS (SELECT id, label, {o.ws_tokens('context')} AS c, {o.ws_tokens('response')} AS r FROM triplets)"
 
 
-@query("ngram_containment", sql(["triplets"], f"""
+@query("ngram_containment", texts_sql(["triplets"], f"""
 SELECT id, round({o.containment('c', 'r', 1)}, 6) AS overlap_1gram, round({o.containment('c', 'r', 2)}, 6) AS overlap_2gram,
   round({o.containment('c', 'r', 3)}, 6) AS overlap_3gram FROM w""", [NGRAM_SQL_WORDS]))
 def ngram_containment(spark, sf):
-    t = fx.triplets(spark, sf).select("id", tx.ws_tokenize(F.col("context")).alias("c"), tx.ws_tokenize(F.col("response")).alias("r"))
+    t = fx.texts(spark, sf).select("id", tx.ws_tokenize(F.col("context")).alias("c"), tx.ws_tokenize(F.col("response")).alias("r"))
     return t.select("id", *[r6(ov.containment(F.col("c"), F.col("r"), n), f"overlap_{n}gram") for n in (1, 2, 3)])
 
 
@@ -176,24 +176,24 @@ def contains_any(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", big(tx.contains_any(F.col("text"), fx.CUES), "found"))
 
 
-@query("negation_mismatch", sql(["rules"], "SELECT id, CAST(neg_mismatch AS BIGINT) AS neg_mismatch FROM rules"))
+@query("negation_mismatch", texts_sql(["rules"], "SELECT id, CAST(neg_mismatch AS BIGINT) AS neg_mismatch FROM rules"))
 def negation_mismatch(spark, sf):
-    return ft.rule_features(fx.triplets(spark, sf), fx.CUES, fx.HINTS).select("id", big("neg_mismatch"))
+    return ft.rule_features(fx.texts(spark, sf), fx.CUES, fx.HINTS).select("id", big("neg_mismatch"))
 
 
-@query("extrinsic_hint", sql(["rules"], "SELECT id, CAST(extrinsic_hint AS BIGINT) AS extrinsic_hint FROM rules"))
+@query("extrinsic_hint", texts_sql(["rules"], "SELECT id, CAST(extrinsic_hint AS BIGINT) AS extrinsic_hint FROM rules"))
 def extrinsic_hint(spark, sf):
-    return ft.rule_features(fx.triplets(spark, sf), fx.CUES, fx.HINTS).select("id", big("extrinsic_hint"))
+    return ft.rule_features(fx.texts(spark, sf), fx.CUES, fx.HINTS).select("id", big("extrinsic_hint"))
 
 
-@query("length_ratio", sql(["rules"], "SELECT id, round(response_length_ratio, 6) AS ratio FROM rules"))
+@query("length_ratio", texts_sql(["rules"], "SELECT id, round(response_length_ratio, 6) AS ratio FROM rules"))
 def length_ratio(spark, sf):
-    return ft.rule_features(fx.triplets(spark, sf), fx.CUES, fx.HINTS).select("id", r6("response_length_ratio", "ratio"))
+    return ft.rule_features(fx.texts(spark, sf), fx.CUES, fx.HINTS).select("id", r6("response_length_ratio", "ratio"))
 
 
-@query("rule_features", sql(["rules"], "SELECT id, " + ", ".join(f"round({c}, 6) AS {c}" for c in RULE_FEATURES) + " FROM rules"))
+@query("rule_features", texts_sql(["rules"], "SELECT id, " + ", ".join(f"round({c}, 6) AS {c}" for c in RULE_FEATURES) + " FROM rules"))
 def rule_features(spark, sf):
-    return ft.rule_features(fx.triplets(spark, sf), fx.CUES, fx.HINTS).select("id", *[r6(c) for c in RULE_FEATURES])
+    return ft.rule_features(fx.texts(spark, sf), fx.CUES, fx.HINTS).select("id", *[r6(c) for c in RULE_FEATURES])
 
 
 WORD_COUNTS = ", ".join(f"CAST(len({o.ws_tokens(c + '_clean')}) AS BIGINT) AS {c}_word_count" for c in ("context", "prompt", "response"))
@@ -212,13 +212,13 @@ FROM hand_words)""",
 
 
 def handcrafted(spark, sf):
-    df = ft.handcrafted_features(pp.preprocess(fx.triplets(spark, sf)), fx.WORDS)
+    df = ft.handcrafted_features(pp.preprocess(fx.texts(spark, sf)), fx.WORDS)
     counts = [c for c in HANDCRAFTED_FEATURES if c.endswith("_count") or c.startswith("has_")]
     return df.select("id", *[big(c) if c in counts else r6(c) for c in HANDCRAFTED_FEATURES])
 
 
 def _hand(name, columns):
-    @query(name, sql(["cleaned"], f"SELECT id, {', '.join(columns)} FROM hand", HAND_EXTRA))
+    @query(name, texts_sql(["cleaned"], f"SELECT id, {', '.join(columns)} FROM hand", HAND_EXTRA))
     def run(spark, sf):
         return handcrafted(spark, sf).select("id", *columns)
 
@@ -230,9 +230,9 @@ _hand("has_neg_prompt", ["has_neg_prompt"])
 _hand("handcrafted_features", HANDCRAFTED_FEATURES)
 
 
-@query("rule_proba", sql(["rule_scores"], "SELECT id, round(r0, 6) AS p_no, round(r1, 6) AS p_intrinsic, round(r2, 6) AS p_extrinsic FROM rule_scores"))
+@query("rule_proba", texts_sql(["rule_scores"], "SELECT id, round(r0, 6) AS p_no, round(r1, 6) AS p_intrinsic, round(r2, 6) AS p_extrinsic FROM rule_scores"))
 def rule_proba(spark, sf):
-    p = ft.rule_proba(ft.rule_features(fx.triplets(spark, sf), fx.CUES, fx.HINTS))
+    p = ft.rule_proba(ft.rule_features(fx.texts(spark, sf), fx.CUES, fx.HINTS))
     return p.select("id", *[r6(F.col("proba")[i], f"p_{n}") for i, n in enumerate(("no", "intrinsic", "extrinsic"))])
 
 

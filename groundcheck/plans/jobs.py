@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import proba as pr
-from ..operators import blend as bl, entropy as en, evaluate as ev, features as ft, models as md, preprocess as pp, runs, sampling
+from ..operators import blend as bl, contracts as ct, entropy as en, evaluate as ev, features as ft, models as md, preprocess as pp, runs, sampling
 from ..schema import DEFAULT_BLEND, LABELS, label_to_id
 from ..session import materialize
 from ..sources import sinks, tables
@@ -15,12 +15,13 @@ from ..sources import sinks, tables
 
 def preprocess_job(
     spark: SparkSession, input_path: str, output_path: str, method: str = "baseline", sample: int = 0,
-    lexicon: DataFrame | None = None,
+    lexicon: DataFrame | None = None, multi_line: bool = True,
 ) -> DataFrame:
     """Clean and tokenise a CSV or parquet table; the statistics go to ``preprocess_stats`` beside the output."""
-    df = tables.read_table(spark, input_path)
+    df = tables.read_table(spark, input_path, multi_line)
     df = sampling.random_sample(df, sample, seed=0, clamp=False)
-    out = pp.preprocess(df, method, lexicon)
+    # the output and its statistics read the same stored rows
+    out = materialize(pp.preprocess(df, method, lexicon))
     sinks.write_preprocessed(out, output_path)
     sinks.write_preprocess_stats(out, os.path.join(os.path.dirname(output_path.rstrip("/")), "preprocess_stats"))
     return out
@@ -48,10 +49,11 @@ def _write_evaluation(scored: DataFrame, output_dir: str) -> DataFrame:
 
 
 def train_classical_job(
-    spark: SparkSession, train_path: str, output_dir: str, valid_size: float = 0.15, seed: int = 42, max_iter: int = 2500
+    spark: SparkSession, train_path: str, output_dir: str, valid_size: float = 0.15, seed: int = 42, max_iter: int = 2500,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Fit the classical model on the training rows, report it on the validation rows."""
-    df = sampling.stratified_split(tables.read_train(spark, train_path), valid_size, seed)
+    df = sampling.stratified_split(tables.read_train(spark, train_path, multi_line=multi_line), valid_size, seed)
     model = md.ClassicalModel.fit(df.filter("split = 'train'"), max_iter=max_iter)
     model.save(f"{output_dir}/model")
     return _write_evaluation(model.predict(df.filter("split = 'valid'"), keep=["label"]), output_dir)
@@ -59,27 +61,37 @@ def train_classical_job(
 
 def evaluate_logits_job(
     spark: SparkSession, train_path: str, logits: DataFrame, output_dir: str, config: dict, valid_size: float = 0.15,
-    seed: int = 42, sample_size: int = 0,
+    seed: int = 42, sample_size: int = 0, multi_line: bool = True,
 ) -> DataFrame:
-    """Report a model known by its logits ``(id, logits)``: the split is drawn here, the rows meet by id."""
-    df = sampling.stratified_sample(tables.read_train(spark, train_path), sample_size, seed)
+    """Report a model known by its logits ``(id, logits)``: the split is drawn here, the rows meet by id.
+
+    A validation row without logits is an error that counts them, not a smaller report.
+    """
+    df = sampling.stratified_sample(tables.read_train(spark, train_path, multi_line=multi_line), sample_size, seed)
     split = materialize(sampling.stratified_split(df.select("id", "label"), valid_size, seed))
     sinks.write_report(ev.run_metadata(split, config, valid_size), f"{output_dir}/metadata")
-    return _write_evaluation(ev.evaluate_logits(logits, split.filter("split = 'valid'")), output_dir)
+    valid = ct.require_partners(split.filter("split = 'valid'"), logits, "the logits")
+    return _write_evaluation(ev.evaluate_logits(logits, valid), output_dir)
 
 
 def train_hybrid_job(
     spark: SparkSession, train_path: str, classical_dir: str, transformer_dir: str, output_dir: str,
     valid_size: float = 0.15, seed: int = 42, steps: int = 20, start: tuple[float, float, float] = DEFAULT_BLEND,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Fit the blend weights on the validation rows of two stored runs and the rules, report on the same rows."""
-    split = sampling.stratified_split(tables.read_train(spark, train_path), valid_size, seed)
+    """Fit the blend weights on the validation rows of two stored runs and the rules, report on the same rows.
+
+    A validation row that a stored run lacks is an error that counts them.
+    """
+    split = sampling.stratified_split(tables.read_train(spark, train_path, multi_line=multi_line), valid_size, seed)
     rules = ft.rule_proba(ft.rule_features(split.filter("split = 'valid'"))).select("id", "label", "proba")
     parts = {
         "classical": spark.read.parquet(f"{classical_dir}/valid"), "transformer": spark.read.parquet(f"{transformer_dir}/valid"),
         "rule": rules,
     }
     labels = rules.select("id", "label")
+    for name in ("classical", "transformer"):
+        ct.require_partners(labels, parts[name], f"the {name} run")
     rows = materialize(bl.join_sources(parts).join(labels, "id"))
     weights = materialize(bl.fit_blend_weights(rows, steps, start))
     sinks.write_report(weights.select(*bl.SOURCES), f"{output_dir}/weights")
@@ -88,10 +100,15 @@ def train_hybrid_job(
 
 def predict_job(
     spark: SparkSession, test_path: str, output_path: str, model_type: str, classical_dir: str | None = None,
-    logits: DataFrame | None = None, hybrid_dir: str | None = None,
+    logits: DataFrame | None = None, hybrid_dir: str | None = None, multi_line: bool = True,
 ) -> DataFrame:
-    """Predict a test table with the classical model, a logits table, or the blend of both with the rules."""
-    test = tables.read_test(spark, test_path)
+    """Predict a test table with the classical model, a logits table, or the blend of both with the rules.
+
+    Every test row is in the submission: one without logits is an error that counts them.
+    """
+    test = tables.read_test(spark, test_path, multi_line=multi_line)
+    if model_type in ("transformer", "hybrid"):
+        ct.require_partners(test, logits, "the logits")
     proba = {}
     if model_type in ("classical", "hybrid"):
         proba["classical"] = md.ClassicalModel.load(spark, f"{classical_dir}/model").predict(test).select("id", "proba")
@@ -111,10 +128,11 @@ def predict_job(
 
 
 def semantic_entropy_job(
-    spark: SparkSession, input_path: str, samples: DataFrame, output_dir: str, tau: float = 0.8, sample_size: int = 0, seed: int = 42
+    spark: SparkSession, input_path: str, samples: DataFrame, output_dir: str, tau: float = 0.8, sample_size: int = 0, seed: int = 42,
+    multi_line: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Entropy of the sampled answers per row; returns the mean per label and the AUC of the known labels."""
-    source = sampling.random_sample(tables.read_table(spark, input_path), sample_size, seed)
+    source = sampling.random_sample(tables.read_table(spark, input_path, multi_line), sample_size, seed)
     report = en.semantic_entropy_report(source, samples, tau)
     sinks.write_entropy_results(report, output_dir)
     stored = spark.read.schema(report.schema).json(f"{output_dir}/details_json").select("true_label", "semantic_entropy")

@@ -180,7 +180,7 @@ lexicon AS (SELECT DISTINCT unnest(list_concat({ngrams('t', 2, "' '")}, list_con
   SELECT CAST(vec_id // 20 AS VARCHAR) AS id, CAST((vec_id % 20) // 2 AS INT) AS layer,
     CASE WHEN vec_id % 2 = 0 THEN 'init' ELSE 'final' END AS step, CAST(embedding AS DOUBLE[]) AS h
   FROM embeddings)"""),
-    "claims": (["triplets"], f"""claim_lists AS (SELECT id, {claims('response')} AS l FROM triplets),
+    "claims": ([], f"""claim_lists AS (SELECT CAST(doc_id AS VARCHAR) AS id, {claims('text')} AS l FROM documents),
 claims AS (SELECT id, generate_subscripts(l, 1) - 1 AS claim_idx, unnest(l) AS claim FROM claim_lists)"""),
     "evidence": ([], f"""benchmark_claims AS (SELECT DISTINCT item_id, unnest({claims('text')}) AS claim FROM benchmark),
 document_claims AS (SELECT DISTINCT doc_id, unnest({claims('text')}) AS claim FROM documents),
@@ -267,3 +267,8 @@ def sql(needs: list[str], body: str, extra: list[str] | None = None, recursive:
     parts = done + (extra or [])
     head = f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" if parts else ""
     return head + body
+
+
+def texts_sql(needs: list[str], body: str, extra: list[str] | None = None, recursive: bool = False) -> str:
+    """``sql`` over the triplets of all documents, those without a label too (``fixtures.texts``)."""
+    return sql(needs, body, extra, recursive).replace("FROM documents d JOIN labels l", "FROM documents d LEFT JOIN labels l")

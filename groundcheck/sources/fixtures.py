@@ -31,22 +31,30 @@ def _logits(doc_id: Column, n_chars: Column, a: int, b: int, mod: int, scale: fl
     return F.array(*[((doc_id * (a + j) + n_chars * (b + 2 * j)) % mod) / scale for j in range(3)])
 
 
-def labelled_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents x labels: the text as context, its first and last sentence as prompt and response."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: the text as context, its first and last sentence as prompt and response. No label."""
+    return _sentences(table(spark, sf_dir, "documents"))
+
+
+def _sentences(docs: DataFrame, *more: Column | str) -> DataFrame:
     first = F.substring_index(F.ltrim(F.col("text"), F.lit(DOTTED)), ".", 1)
     last = F.substring_index(F.rtrim(F.col("text"), F.lit(DOTTED)), ".", -1)
-    label = F.when(F.col("toxic") == 1, "extrinsic").when(F.col("quality") == 0, "intrinsic").otherwise("no")
-    return docs.join(labels, "doc_id").select(
+    return docs.select(
         F.col("doc_id").cast("string").alias("id"),
         F.col("text").alias("context"),
         F.rtrim(first, F.lit(tx.WS_CHARS)).alias("prompt"),
         F.ltrim(last, F.lit(tx.WS_CHARS)).alias("response"),
-        label.alias("label"),
-        "doc_id", "n_chars",
+        *more,
     )
 
 
+def labelled_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``texts`` of the documents that have labels."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    label = F.when(F.col("toxic") == 1, "extrinsic").when(F.col("quality") == 0, "intrinsic").otherwise("no")
+    return _sentences(docs.join(labels, "doc_id"), label.alias("label"), "doc_id", "n_chars")
+
+
 def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled_triplets(spark, sf_dir).drop("doc_id", "n_chars")
 

@@ -49,9 +49,9 @@ def write_label_submission(df: DataFrame, path: str) -> None:
 
 
 def write_entropy_results(report: DataFrame, path: str) -> None:
-    """CSV of the results, and JSON details that keep the answers as an array."""
-    write_csv(report, f"{path}/results_csv")
+    """JSON details that keep the answers as an array, and CSV of the results from them: the report is computed once."""
     report.write.mode("overwrite").json(f"{path}/details_json")
+    write_csv(report.sparkSession.read.schema(report.schema).json(f"{path}/details_json"), f"{path}/results_csv")
 
 
 def write_run_summary(runs: DataFrame, path: str) -> None:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import fill_text
-from ..operators.contracts import require_columns, with_label_id
+from ..operators.contracts import require_columns, require_known_labels, with_label_id
 from ..operators.preprocess import serialize
 from ..schema import ID, LABEL, NA_STRINGS, PREDICTED, TEXT_COLUMNS
 
@@ -16,18 +18,29 @@ CSV_OPTIONS = {
 }
 
 
-def read_any_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """All columns as text, by the header's names, so that the column order in the file is free.
+def read_any_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """All columns as text, by the header's names, so that the column order is free.
 
-    With line breaks inside texts a file is read by one task: store a large table as many files, or
+    The files of one folder share one header; a file with another header is an error, never read by position
+    (``enforceSchema``). Files with different column orders are given as a list of paths: each is read by its own header
+    and they meet by name. With line breaks inside texts a file is read by one task: store a large table as many files, or
     as parquet. ``multi_line=False`` lets Spark split the files.
     """
-    return spark.read.options(**CSV_OPTIONS, multiLine=multi_line).csv(path)
+    reader = spark.read.options(**CSV_OPTIONS, multiLine=multi_line, enforceSchema=False)
+    paths = [path] if isinstance(path, str) else path
+    return reduce(DataFrame.unionByName, [reader.csv(p) for p in paths])
+
+
+def _is_parquet(path: str | list[str]) -> bool:
+    return isinstance(path, str) and path.rstrip("/").endswith(".parquet")
 
 
-def read_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Parquet by its suffix, else CSV."""
-    return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else read_any_csv(spark, path, multi_line)
+def read_table(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """Parquet by its suffix, else CSV, whose missing markers in the text and label columns become null."""
+    if _is_parquet(path):
+        return spark.read.parquet(path)
+    df = read_any_csv(spark, path, multi_line)
+    return _missing_to_null(df, [c for c in (*TEXT_COLUMNS, LABEL) if c in df.columns])
 
 
 def _missing_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -37,7 +50,7 @@ def _missing_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
 def as_train(df: DataFrame, text_mode: str = "raw", lexicon: DataFrame | None = None) -> DataFrame:
     """The training contract on any table: texts filled, label checked, ``label_id``, ``serialized_text``."""
     require_columns(df, [ID, *TEXT_COLUMNS, LABEL])
-    known = with_label_id(df.withColumns({c: fill_text(F.col(c)) for c in TEXT_COLUMNS}))
+    known = with_label_id(require_known_labels(df).withColumns({c: fill_text(F.col(c)) for c in TEXT_COLUMNS}))
     return serialize(known, text_mode, lexicon)
 
 
@@ -49,11 +62,11 @@ def as_test(df: DataFrame, text_mode: str = "raw", lexicon: DataFrame | None = N
     return serialize(out, text_mode, lexicon)
 
 
-def read_train(spark: SparkSession, path: str, text_mode: str = "raw", lexicon: DataFrame | None = None, multi_line: bool = True) -> DataFrame:
+def read_train(spark: SparkSession, path: str | list[str], text_mode: str = "raw", lexicon: DataFrame | None = None, multi_line: bool = True) -> DataFrame:
     df = require_columns(read_table(spark, path, multi_line), [ID, *TEXT_COLUMNS, LABEL])
-    return as_train(_missing_to_null(df, [*TEXT_COLUMNS, LABEL]), text_mode, lexicon)
+    return as_train(df, text_mode, lexicon)
 
 
-def read_test(spark: SparkSession, path: str, text_mode: str = "raw", lexicon: DataFrame | None = None, multi_line: bool = True) -> DataFrame:
+def read_test(spark: SparkSession, path: str | list[str], text_mode: str = "raw", lexicon: DataFrame | None = None, multi_line: bool = True) -> DataFrame:
     df = require_columns(read_table(spark, path, multi_line), [ID, *TEXT_COLUMNS])
-    return as_test(_missing_to_null(df, TEXT_COLUMNS), text_mode, lexicon)
+    return as_test(df, text_mode, lexicon)
