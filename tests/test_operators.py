@@ -10,6 +10,7 @@ from groundcheck.operators import (
     blend as bl, claims as cl, contracts, eda, entropy as en, evaluate as ev, models as md, ordering, probes as pb,
     runs, sampling, tfidf, vocab,
 )
+from groundcheck.plans import jobs
 from groundcheck.sources import sinks, tables
 
 
@@ -279,3 +280,56 @@ def test_run_tables(spark):
     assert sorted(r.run_name for r in runs.runs_to_do(grid, scores).collect()) == ["m_len512", "org_PhoBERT_v2_len256"]
     history = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.7), ("a", 3, 0.7)], "run_name string, epoch int, val_f1_macro double")
     assert runs.best_checkpoint(history).first().epoch == 2
+
+
+def test_null_class_is_drawn(spark):
+    df = spark.createDataFrame([(str(i), "a" if i % 2 else None) for i in range(40)], "id string, label string")
+    assert sampling.stratified_sample(df, 10).groupBy("label").count().orderBy("label").collect() == [(None, 5), ("a", 5)]
+    assert sampling.stratified_split(df, 0.5).filter("split = 'valid'").count() == 20
+
+
+def test_absent_probe_coordinates_are_zeros(spark):
+    w1 = np.array([[1.0, 0.0, 2.0], [0.0, 0.0, -3.0]])
+    weights = spark.createDataFrame(
+        [(0, "init", o, i, float(w1[o, i])) for o in range(2) for i in range(3) if w1[o, i]], "layer int, step string, out_dim int, in_dim int, w double")
+    got = pb.neuron_selection(weights, 1.0).orderBy("rank").collect()
+    assert [(r.in_dim, r.importance) for r in got] == [(2, 2.5), (0, 0.5)]
+    outputs = spark.createDataFrame([(0, "init", o, 0.5, 1.0) for o in range(3)], "layer int, step string, out_dim int, b1 double, w2 double")
+    bias = spark.createDataFrame([(0, "init", 0.25)], "layer int, step string, b2 double")
+    schema = "id string, layer int, step string, h array<double>"
+    states = spark.createDataFrame([("x", 0, "init", [1.0, 5.0, 2.0])], schema)
+    probes = pb.pack_probes(weights, outputs)
+    z = np.maximum(np.vstack([w1, np.zeros(3)]) @ np.array([1.0, 5.0, 2.0]) + 0.5, 0).sum() + 0.25
+    assert math.isclose(pb.probe_score(states, probes, bias).first().score, 1 / (1 + np.exp(-z)))
+    with pytest.raises(Exception, match="no probe for layer 7"):
+        pb.probe_score(spark.createDataFrame([("x", 7, "init", [1.0])], schema), probes, bias).collect()
+
+
+def test_column_orders_and_markers(spark, tmp_path):
+    df = spark.createDataFrame([("1", "c", "None", "r", "no")], "id string, context string, prompt string, response string, label string")
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    sinks.write_csv(df, a)
+    sinks.write_csv(df.select("label", "response", "prompt", "context", "id"), b)
+    rows = tables.read_any_csv(spark, [a, b]).collect()
+    assert len(rows) == 2 and rows[0] == rows[1] and rows[0].id == "1"
+    (tmp_path / "mixed").mkdir()
+    for i, folder in enumerate((a, b)):
+        part = next(p for p in (tmp_path / folder).iterdir() if p.suffix == ".csv")
+        (tmp_path / "mixed" / f"{i}.csv").write_bytes(part.read_bytes())
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        tables.read_any_csv(spark, str(tmp_path / "mixed")).collect()
+    df.write.parquet(str(tmp_path / "p.parquet"))
+    assert tables.read_train(spark, str(tmp_path / "p.parquet")).first().prompt == "None"
+    assert tables.read_train(spark, a).first().prompt == ""
+
+
+def test_jobs_refuse_unknown_labels_and_missing_logits(spark, tmp_path):
+    rows = [(str(i), "c", "p", "r", "no" if i % 2 else "bad" if i else "Worse") for i in range(20)]
+    df = spark.createDataFrame(rows, "id string, context string, prompt string, response string, label string")
+    sinks.write_csv(df, str(tmp_path / "t"))
+    with pytest.raises(ValueError, match=r"Unknown labels found: \['Worse', 'bad'\]"):
+        jobs.train_classical_job(spark, str(tmp_path / "t"), str(tmp_path / "out"))
+    sinks.write_csv(df.drop("label"), str(tmp_path / "s"))
+    logits = df.filter("id <> '3'").select("id", F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)).alias("logits"))
+    with pytest.raises(ValueError, match="1 rows have no partner in the logits"):
+        jobs.predict_job(spark, str(tmp_path / "s"), str(tmp_path / "sub"), "transformer", logits=logits)
