@@ -1,10 +1,10 @@
-"""Text expressions. Everything here is a Column and stays inside the JVM."""
+"""Text expressions. Everything here is a Column; only the composition of non-ASCII texts leaves the JVM."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # The characters Python's str.strip() and \s take as white space, for trim and as a
 # regex class. (?U) makes Java's \s the Unicode property, which lacks the four separators; \w is
@@ -35,9 +35,26 @@ def fill_text(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 
 
-def nfc(col: Column) -> Column:
-    """Unicode NFC. Spark has no such function, so call the ICU library it ships for collations."""
-    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), col, F.lit(False))
+def _compose(col: Column) -> Column:
+    # a nested function travels by value, so executors need no package on their path for it
+    def compose(texts):
+        import unicodedata
+
+        import pyarrow as pa
+
+        return pa.array([t and unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(compose, T.StringType())(col)
+
+
+def nfc(col: Column, source: Column | None = None) -> Column:
+    """Unicode NFC of a text that is not null. Spark has no such function: non-ASCII texts go through Arrow, the others stay.
+
+    Deterministic, so filters are pushed below it. ``source`` is a stored column that ``col`` is made from without adding
+    characters: where it is ASCII, so is ``col``, and an expensive ``col`` is computed once per row, on one branch or the other.
+    """
+    source = col if source is None else source
+    return F.coalesce(_compose(F.when(F.octet_length(source) != F.char_length(source), col)), col)
 
 
 def collapse_ws(col: Column) -> Column:
@@ -67,11 +84,12 @@ def _replace_where(col: Column, marks: list[str], pattern: str, to: str) -> Colu
 
 def clean_text(col: Column) -> Column:
     """Line breaks, markup, URLs and e-mail addresses become one space each, then normalize_ws."""
-    s = F.replace(F.replace(fill_text(col), F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(" "))
+    raw = fill_text(col)
+    s = F.replace(F.replace(raw, F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(" "))
     s = _replace_where(s, ["<"], HTML, "$1 ")
     s = _replace_where(s, ["http", "www."], URL, " ")
     s = _replace_where(s, ["@"], EMAIL, " ")
-    return collapse_ws(nfc(s))
+    return collapse_ws(nfc(s, raw))
 
 
 def words(col: Column, min_len: int = 1) -> Column:

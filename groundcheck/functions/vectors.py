@@ -42,9 +42,3 @@ def greedy_centers(samples: Column, tau: float) -> Column:
         return F.concat(state, F.array(F.coalesce(F.get(matches, F.lit(0)), position)))
 
     return F.aggregate(samples, empty, step)
-
-
-def entropy_of_sizes(sizes: Column, total: Column) -> Column:
-    """-sum p ln(p + 1e-9) with p = size / total; 0 for no clusters."""
-    share = lambda n: n.cast("double") / total
-    return F.aggregate(sizes, F.lit(0.0), lambda acc, n: acc - share(n) * F.log(share(n) + 1e-9))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..schema import LABEL, LABELS, TEXT_COLUMNS, id_to_label, label_to_id
 from ..functions.text import fill_text as fill
+from ..session import materialize
+from .ordering import running_before
 
 
 def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -65,10 +67,8 @@ def with_label_id(df: DataFrame, label: str = LABEL) -> DataFrame:
 
 def label_encode(df: DataFrame, label: str = LABEL) -> DataFrame:
     """Add ``label_id`` (domain order), ``label_rank`` (alphabetical order of the labels that occur)
-    and ``label_decoded``."""
-    classes = df.agg(F.array_sort(F.collect_set(label)).alias("classes")).scalar()
-    ids = df.withColumns({"label_id": label_to_id(F.col(label)), "_classes": classes})
-    return ids.withColumns({
-        "label_rank": (F.array_position("_classes", F.col(label)) - 1).cast("int"),
-        "label_decoded": id_to_label(F.col("label_id")),
-    }).drop("_classes")
+    and ``label_decoded``. A null label has none of them."""
+    classes = materialize(df.filter(F.col(label).isNotNull()).select(F.col(label).alias("_class")).distinct().withColumn("_one", F.lit(1)))
+    ranks = running_before(classes, "_class", ["_one"]).select("_class", F.col("_one_before").cast("int").alias("label_rank"))
+    ranked = df.withColumn("label_id", label_to_id(F.col(label))).join(ranks, F.col(label) == F.col("_class"), "left").drop("_class")
+    return ranked.withColumn("label_decoded", id_to_label(F.col("label_id")))

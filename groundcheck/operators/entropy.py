@@ -12,106 +12,64 @@ from ..functions import vectors as vec
 from ..session import materialize
 from .claims import collect_samples
 
-FOLD_LIMIT = 512  # samples of one prompt folded in one row; larger groups are clustered in rounds
+BLOCK = 128  # samples of one prompt folded in one row per round
 
 
-def _measured(samples: DataFrame) -> DataFrame:
-    return samples.select("id", "sample_idx", "embedding", vec.norm(F.col("embedding")).alias("norm"))
+def _fold_heads(samples: DataFrame, tau: float, block: int) -> DataFrame:
+    """Per prompt its first ``block`` samples: ``idx``, the position of each one's center, and where more may follow the centers.
 
-
-def _ordered(samples: DataFrame) -> DataFrame:
-    """One row per prompt: its samples in order."""
-    return samples.groupBy("id").agg(
+    The rank is cut per task before the shuffle (window group limit), so no prompt is gathered whole.
+    """
+    first = Window.partitionBy("id").orderBy("sample_idx")
+    heads = samples.withColumn("_n", F.rank().over(first)).filter(F.col("_n") <= block).groupBy("id").agg(
         F.array_sort(F.collect_list(F.struct("sample_idx", "embedding", "norm"))).alias("s")
     )
-
-
-def _split_by_size(samples: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Prompts that fit a fold, and the rest (None where there is none, the usual case).
-
-    Looks at the id column only. The number of answers per prompt is a sampling parameter (5 to 10),
-    so a large group is the exception that must still come out right. The list of large groups is
-    stored: a short one is broadcast, a long one joins by plain exchanges, whose skew AQE splits.
-    """
-    large = materialize(
-        samples.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("id")
+    folded = heads.withColumn("center", vec.greedy_centers(F.col("s"), tau))
+    centers = F.transform(F.array_distinct("center"), lambda i: F.get(F.col("s"), i))
+    return folded.select(
+        "id", F.col("s.sample_idx").alias("idx"), "center", F.when(F.size("s") >= block, centers).alias("centers")
     )
-    if large.isEmpty():
-        return samples, None
-    return samples.join(large, "id", "left_anti"), samples.join(large, "id", "left_semi")
 
 
-def _fold(samples: DataFrame, tau: float) -> DataFrame:
-    ordered = _ordered(_measured(samples))
-    return ordered.select("id", F.col("s.sample_idx").alias("idx"), vec.greedy_centers(F.col("s"), tau).alias("center"))
-
-
-def _rounds(samples: DataFrame, tau: float, block: int) -> DataFrame:
-    """``(id, sample_idx, center_idx)`` of large groups, exactly as the sequential rule gives it.
+def greedy_cluster(samples: DataFrame, tau: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """``(id, sample_idx, center_idx)``: in sample order, the first center with cosine >= tau, else itself.
 
-    Each round folds the first ``block`` open samples of every prompt into centers. A later sample
-    meets these centers before any that follow, so it joins the first it matches now or stays open.
+    A center is a cluster's first member and never moves. Each round folds the first ``block`` open samples of every prompt
+    into centers. A later sample meets these before any that follow, so it joins the first it matches now or stays open for
+    the next round: exactly what the sequential rule gives. Prompts of less than ``block`` samples, the usual case, are done
+    after one round. ``sample_idx`` numbers the samples of a prompt; rows that repeat it are folded together.
     """
-    open_samples = materialize(_measured(samples))
+    open_samples = samples.select("id", "sample_idx", "embedding", vec.norm(F.col("embedding")).alias("norm"))
     placed = []
-    first = Window.partitionBy("id").orderBy("sample_idx")
     while True:
-        # row_number() <= block is applied per task before the shuffle (window group limit)
-        heads = open_samples.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= block).drop("_n")
-        ordered = _ordered(heads).withColumn("_state", vec.greedy_centers(F.col("s"), tau))
-        centers = materialize(ordered.select(
-            "id", F.transform(F.array_distinct("_state"), lambda i: F.get(F.col("s"), i)).alias("_centers")
+        folded = materialize(_fold_heads(open_samples, tau, block))
+        pairs = F.transform("idx", lambda s, i: F.struct(
+            s.alias("sample_idx"), F.get(F.col("idx"), F.get(F.col("center"), i)).alias("center_idx")
         ))
+        placed.append(folded.select("id", F.inline(pairs)))
+        more = folded.filter(F.col("centers").isNotNull()).select("id", "centers", F.array_max("idx").alias("last"))
+        if more.isEmpty():
+            return reduce(DataFrame.union, placed)
         match = F.filter(
-            F.col("_centers"),
-            lambda c: (c["sample_idx"] == F.col("sample_idx"))
-            | (vec.cosine(F.col("embedding"), c["embedding"], F.col("norm"), c["norm"]) >= tau),
-        )
-        step = materialize(
-            open_samples.join(centers, "id")
-            .withColumn("center_idx", F.get(match, F.lit(0))["sample_idx"])
-            .drop("_centers")
+            F.col("centers"),
+            lambda c: vec.cosine(F.col("embedding"), c["embedding"], F.col("norm"), c["norm"]) >= tau,
         )
-        placed.append(step.filter(F.col("center_idx").isNotNull()).select("id", "sample_idx", "center_idx"))
-        open_samples = step.filter(F.col("center_idx").isNull()).drop("center_idx")
-        if open_samples.isEmpty():
-            return reduce(DataFrame.union, placed)
-
-
-def greedy_cluster(samples: DataFrame, tau: float = 0.8, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """``(id, sample_idx, center_idx)``: in sample order, the first center with cosine >= tau, else itself.
-
-    A center is a cluster's first member and never moves.
-    """
-    small, large = _split_by_size(samples, fold_limit)
-    folded = _fold(small, tau)
-    pairs = F.transform("idx", lambda s, i: F.struct(
-        s.alias("sample_idx"), F.get(F.col("idx"), F.get(F.col("center"), i)).alias("center_idx")
-    ))
-    out = folded.select("id", F.inline(pairs))
-    return out if large is None else out.union(_rounds(large, tau, fold_limit))
+        later = open_samples.join(more, "id").filter(F.col("sample_idx") > F.col("last"))
+        met = materialize(later.withColumn("center_idx", F.get(match, F.lit(0))["sample_idx"]).select(
+            "id", "sample_idx", "center_idx", *[F.when(F.col("center_idx").isNull(), F.col(c)).alias(c) for c in ("embedding", "norm")]
+        ))
+        placed.append(met.filter(F.col("center_idx").isNotNull()).select("id", "sample_idx", "center_idx"))
+        open_samples = met.filter(F.col("center_idx").isNull()).drop("center_idx")
 
 
-def semantic_entropy(samples: DataFrame, tau: float = 0.8, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def semantic_entropy(samples: DataFrame, tau: float = 0.8, block: int = BLOCK) -> DataFrame:
     """``(id, n_samples, n_clusters, semantic_entropy)``."""
-    small, large = _split_by_size(samples, fold_limit)
-    folded = _fold(small, tau).select("id", "center", F.array_distinct("center").alias("_c")).withColumn(
-        "_sizes", F.transform("_c", lambda c: F.size(F.filter("center", lambda x: x == c)))
-    )
-    out = folded.select(
-        "id", F.size("center").cast("long").alias("n_samples"), F.size("_c").cast("long").alias("n_clusters"),
-        vec.entropy_of_sizes(F.col("_sizes"), F.size("center")).alias("semantic_entropy"),
-    )
-    if large is None:
-        return out
-    sizes = _rounds(large, tau, fold_limit).groupBy("id", "center_idx").agg(F.count(F.lit(1)).alias("n"))
-    totals = sizes.groupBy("id").agg(F.sum("n").alias("total"))
-    share = F.col("n") / F.col("total")
-    return out.union(
-        sizes.join(totals, "id").groupBy("id").agg(
-            F.sum("n").alias("n_samples"), F.count(F.lit(1)).alias("n_clusters"),
-            F.sum(-share * F.log(share + 1e-9)).alias("semantic_entropy"),
-        )
+    sizes = greedy_cluster(samples, tau, block).groupBy("id", "center_idx").agg(F.count(F.lit(1)).alias("n"))
+    totals = sizes.groupBy("id").agg(F.sum("n").alias("n_samples"))
+    share = F.col("n") / F.col("n_samples")
+    return sizes.join(totals, "id").groupBy("id").agg(
+        F.first("n_samples").alias("n_samples"), F.count(F.lit(1)).alias("n_clusters"),
+        F.sum(-share * F.log(share + 1e-9)).alias("semantic_entropy"),
     )
 
 
@@ -139,6 +97,14 @@ def entropy_by_label(report: DataFrame) -> DataFrame:
     )
 
 
+def overall_entropy(report: DataFrame) -> DataFrame:
+    """One row ``(mean, std, count)`` over all rows, for reports with one label or none."""
+    return report.agg(
+        F.avg("semantic_entropy").alias("mean"), F.stddev_samp("semantic_entropy").alias("std"),
+        F.count("semantic_entropy").alias("count"),
+    )
+
+
 def mean_pool(tokens: DataFrame) -> DataFrame:
     """``(id, embedding)``: mean of the token vectors under the mask, denominator at least 1e-9.
 

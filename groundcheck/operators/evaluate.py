@@ -88,7 +88,7 @@ def classification_report(df: DataFrame, truth: str = "label", pred: str = "pred
     return per_class.union(summary)
 
 
-def auc_roc(df: DataFrame, score: str, positive: str, slices: int = 64) -> DataFrame:
+def auc_roc(df: DataFrame, score: str, positive: str, slices: int | None = None) -> DataFrame:
     """One row ``(auc, n_pos, n_neg)``: rank AUC, ties count half; NULL if one class is absent.
 
     Rows with equal scores are counted first; the running count of negatives is taken slice by

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
 
+#: Distinct values one task puts in order.
+SLICE_ROWS = 1_000_000
+
 
 def top_rows(df: DataFrame, k: int, value: str, tiebreak: str) -> DataFrame:
     """The k rows with the largest integer ``value``; ties by ``tiebreak`` ascending.
@@ -20,30 +23,25 @@ def top_rows(df: DataFrame, k: int, value: str, tiebreak: str) -> DataFrame:
     (k of them, plus ties) are sorted. ``df`` is stored, since it is read twice.
     """
     df = materialize(df)
-    hist = df.groupBy(value).agg(F.count(F.lit(1)).alias("_rows"))
-    reached = F.sum("_rows").over(Window.orderBy(F.desc(value)))
-    cut = hist.withColumn("_reached", reached).filter(F.col("_reached") >= k).agg(F.max(value).alias("cut"))
+    hist = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_rows"))
+    ranked = running_before(materialize(hist.withColumn("_down", -F.col(value))), "_down", ["_rows"])
+    cut = ranked.filter(F.col("_rows_before") + F.col("_rows") >= k).agg(F.max(value).alias("cut"))
     kept = df.filter(F.col(value) >= F.coalesce(cut.scalar(), F.col(value)))
     return kept.orderBy(F.desc(value), F.asc(tiebreak)).limit(k)
 
 
 def running_before(
-    counts: DataFrame, value: str, weights: list[str], by: list[str] | None = None, slices: int = 64
+    counts: DataFrame, value: str, weights: list[str], by: list[str] | None = None, slices: int | None = None
 ) -> DataFrame:
     """Add ``{w}_before``: the sum of ``w`` over all smaller values of the same ``by`` group.
 
-    ``counts`` holds one row per (by, value) and should be stored: it is read three times. ``by``
-    must be a small fixed domain (labels, column names): one row per group, and ``slices`` rows of
-    offsets per group, are broadcast.
+    ``counts`` holds one row per (by, value) and should be stored: it is read three times. Spark's range partitioning cuts it
+    into ``slices`` by value (without the parameter one per ``SLICE_ROWS`` rows, so tasks keep their size as the table grows).
+    The slice is stored with the rows. Only one row per slice and group passes through the window that adds up whole slices.
     """
     by = by or []
-    quantiles = [i / slices for i in range(1, slices)]
-    bounds = counts.groupBy(*by).agg(F.percentile_approx(value, quantiles, 100 * slices).alias("_bounds"))
-    if by:
-        cut = counts.join(F.broadcast(bounds), by)
-    else:
-        cut = counts.withColumn("_bounds", bounds.scalar())
-    cut = cut.withColumn("_slice", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
+    slices = slices or max(1, -(-counts.count() // SLICE_ROWS))
+    cut = materialize(counts.repartitionByRange(slices, *by, value).withColumn("_slice", F.spark_partition_id()))
 
     ahead = lambda order: Window.partitionBy(*by, *order[:-1]).orderBy(order[-1]).rowsBetween(
         Window.unboundedPreceding, -1
@@ -56,7 +54,7 @@ def running_before(
         "*",
         *[F.coalesce(F.sum(w).over(ahead(["_slice", value])), F.lit(0)).alias(f"_{w}_in") for w in weights],
     )
-    out = inside.join(F.broadcast(offsets), [*by, "_slice"])
+    out = inside.join(offsets, [*by, "_slice"])
     return out.select(
         *counts.columns, *[(F.col(f"_{w}_off") + F.col(f"_{w}_in")).alias(f"{w}_before") for w in weights]
     )

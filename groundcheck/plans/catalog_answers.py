@@ -93,6 +93,12 @@ def entropy_by_label(spark, sf):
     return en.entropy_by_label(report(spark, sf)).select("true_label", r6("mean"), r6("std"), "count")
 
 
+@query("overall_entropy", sql(["samples", "triplets"], """
+SELECT round(avg(semantic_entropy), 6) AS mean, round(stddev_samp(semantic_entropy), 6) AS std, count(*) AS count FROM report""", REPORT, recursive=True))
+def overall_entropy(spark, sf):
+    return en.overall_entropy(report(spark, sf)).select(r6("mean"), r6("std"), "count")
+
+
 @query("entropy_auc", sql(["samples", "triplets"], """
 SELECT round((sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2)
   / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 6) AS auc, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg
