@@ -28,7 +28,7 @@ class Codec:
     position once, as for additive scores, and gives the library's ids.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 200_000):
         import ahocorasick
         from sentencepiece import SentencePieceProcessor
 
