@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +17,20 @@ FINE = re.compile(f"{SPACE}*[{LATIN}]+|{SPACE}*[^{LATIN}{SPACE}]+|{SPACE}+")
 COARSE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+class PartIds(dict):
+    """Ids of the parts met so far, worked out on a miss and forgotten beyond ``limit`` parts."""
+
+    def __init__(self, ids: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.ids, self.limit = ids, limit
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        ids = self[part] = self.ids(part)
+        return ids
+
+
 class Codec:
     """A SentencePiece BPE model with byte fallback and without normalisation rules.
 
@@ -53,7 +67,7 @@ class Codec:
             b"" if i in control else bytes([int(p[3:5], 16)]) if model.is_byte(i) else b" \xe2\x81\x87 " if model.is_unknown(i) else p.replace(SPACE, " ").encode()
             for i, p in enumerate(self.pieces)
         ]
-        self.known: dict[str, bytes] = {}
+        self.known = PartIds(self.part_ids, limit)
         self.fits: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -100,15 +114,7 @@ class Codec:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        known, out = self.known, []
-        for part in self.parts.findall(SPACE + text.replace(" ", SPACE)):
-            ids = known.get(part)
-            if ids is None:
-                if len(known) >= self.limit:
-                    known.clear()
-                ids = known[part] = self.part_ids(part)
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, self.parts.findall(SPACE + text.replace(" ", SPACE))))
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.decoded.__getitem__, ids.tolist())).decode(errors="replace")
