@@ -148,106 +148,6 @@ def quality_of(spark: SparkSession, model: Model):
     return lambda text: quality(F.coalesce(text, F.lit("")))
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logit(x), -30, 30)))
-
-
-def sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def descend(p: np.ndarray, u: np.ndarray, slopes, units: int, steps: int, rate: float, seed: int) -> Model:
-    """A tanh layer trained by Adam; ``slopes(zp, zu)`` gives the risk's derivatives by the logits of positives and unlabelled rows."""
-    rng = np.random.default_rng(seed)
-    both = np.concatenate((p, u))
-    model = Model(both.mean(axis=0), both.std(axis=0) + 1e-3, rng.normal(0, 0.2, (p.shape[1] + 1, units)), np.zeros(units + 1), 0.0)
-    model.out[:-1] = rng.normal(0, 0.2, units)
-    x = model.ready(both)
-    moments = [np.zeros_like(w) for w in (model.hidden, model.out, model.hidden, model.out)]
-    for t in range(1, steps + 1):
-        h = np.tanh(x @ model.hidden)
-        z = h @ model.out[:-1] + model.out[-1]
-        g = np.concatenate(slopes(z[: len(p)], z[len(p) :]))
-        grads = [x.T @ (g[:, None] * model.out[None, :-1] * (1 - h**2)) + 1e-4 * model.hidden, np.append(h.T @ g, g.sum()) + 1e-4 * model.out]
-        for k, (w, d) in enumerate(zip((model.hidden, model.out), grads)):
-            moments[k] = 0.9 * moments[k] + 0.1 * d
-            moments[k + 2] = 0.999 * moments[k + 2] + 0.001 * d**2
-            w -= rate * (moments[k] / (1 - 0.9**t)) / (np.sqrt(moments[k + 2] / (1 - 0.999**t)) + 1e-8)
-    return model
-
-
-def non_negative_slopes(prior: float):
-    """Of prior * E_p[l(z)] + max(0, E_u[l(-z)] - prior * E_p[l(-z)]) with the logistic loss l.
-
-    Where the estimated risk of the negatives falls below zero, the step goes up that part instead, so the
-    model can't win by calling known positives negative.
-    """
-
-    def slopes(zp: np.ndarray, zu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        loss_n = lambda z: np.logaddexp(0, z)  # noqa: E731  (the loss of calling z negative)
-        negative = loss_n(zu).mean() - prior * loss_n(zp).mean()
-        up_p, up_u = -prior * sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
-        if negative < 0:
-            return -up_p, -up_u
-        return prior * (sigmoid(zp) - 1) / len(zp) + up_p, up_u
-
-    return slopes
-
-
-def estimate_prior(p: np.ndarray, u: np.ndarray, seed: int = 1) -> float:
-    """Share of positives among the unlabelled: the least ratio of the two sides' top tails.
-
-    A model that tells positives from unlabelled rows is fitted on one half. On the other half, the tail above
-    any cut holds at least prior times the positives' tail, and nearly only that where negatives are rare.
-    """
-    halves = [(x[::2], x[1::2]) for x in (p, u)]
-    (p1, p2), (u1, u2) = halves
-    if min(map(len, (p1, p2, u1, u2))) < 10:
-        return 0.5
-    plain = lambda zp, zu: ((sigmoid(zp) - 1) / len(zp), sigmoid(zu) / len(zu))
-    model = descend(p1, u1, plain, 8, 150, 0.02, seed)
-    zp, zu = np.sort(model.logit(p2)), np.sort(model.logit(u2))
-    cuts = np.quantile(zp, np.linspace(0.02, 0.7, 60))
-    of_p, of_u = (1 - np.searchsorted(z, cuts) / len(z) for z in (zp, zu))
-    slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(zp)) + 1 / np.sqrt(len(zu)))
-    best = int(np.argmin((of_u + slack) / np.maximum(of_p, 1e-6)))
-    return float(np.clip(of_u[best] / of_p[best], 0.05, 0.95))
-
-
-def fit(p: np.ndarray, u: np.ndarray, units: int = 16, steps: int = 400, rate: float = 0.02, seed: int = 1) -> Model:
-    if len(p) < 2 or len(u) < 2:  # nothing to compare: every text is as likely good as not
-        width = len(SIGNS) + 14
-        return Model(np.zeros(width), np.ones(width), np.zeros((width + 1, 1)), np.zeros(2), 0.5)
-    prior = estimate_prior(p, u, seed)
-    model = descend(p, u, non_negative_slopes(prior), units, steps, rate, seed)
-    model.prior = prior
-    return model
-
-
-def train(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5, rows: int = 3000, max_bytes: int = 32_768) -> Model:
-    """Fit on at most ``rows`` trusted positives outside the held-out fold and ``rows`` texts without any label, of at most ``max_bytes`` each.
-
-    The bound keeps what the driver receives the same for any number of rows. Labels 0 are never read.
-    """
-    trusted = labels.filter((F.col("quality") == 1) & (fold("doc_id", folds) != held_out)).select("doc_id")
-    free = docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti")
-    p, u = (texts_of(docs, id_sample(ids, rows), max_bytes)["text"] for ids in (trusted, free))
-    matrix = lambda texts: np.stack([features(t) for t in texts]) if len(texts) else np.zeros((0, len(SIGNS) + 14))
-    return fit(matrix(p), matrix(u))
-
-
-def scored(docs: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def quality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            rows = [features(t) for t in texts]
-            yield pd.Series(shared.value.score(np.stack(rows)) if rows else [], dtype="float64")
-
-    return docs.withColumn(name, quality(F.coalesce(F.col(text_col), F.lit(""))))
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, score, predicted. Reads the text alone, whole.
 
