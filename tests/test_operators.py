@@ -69,6 +69,17 @@ def test_top_rows_breaks_ties_by_name(spark):
     assert ordering.top_rows(few, 60, "n", "t").count() == 5
 
 
+def test_running_sums_do_not_depend_on_the_slices(spark):
+    counts = ordering.value_counts(spark.range(1000).selectExpr("id % 97 AS v", "id % 2 AS g"), "v", ["g"])
+    got = [
+        sorted(map(tuple, ordering.running_before(counts, "v", ["n"], ["g"], slices=s).collect())) for s in (None, 1, 7, 64)
+    ]
+    assert got[0] == got[1] == got[2] == got[3]
+    assert all(before == sum(n for g2, v2, n, _ in got[0] if g2 == g and v2 < v) for g, v, _, before in got[0])
+    empty = spark.createDataFrame([], "v long, n long")
+    assert ordering.running_before(empty, "v", ["n"]).count() == 0
+
+
 def test_auc_matches_pairs(spark):
     rng = random.Random(4)
     rows = [(rng.choice([0.1, 0.2, 0.5, rng.random()]), rng.randint(0, 1)) for _ in range(300)]

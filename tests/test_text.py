@@ -120,3 +120,11 @@ def test_methods(spark):
     base, chat = pp.preprocess(df, "baseline").first(), pp.preprocess(df, "llm").first()
     assert (base.context_tok, chat.context_tok, base.context_token_len, base.context_char_len) == ("a b", "A B", 2, 3)
     assert "llm_prompt" not in base.asDict() and chat.llm_prompt.startswith("Context: A B\nQuestion: Q?\nModel Answer: C\n")
+
+
+def test_filters_go_below_normalisation(spark):
+    df = spark.createDataFrame([("e\u0301", "fr"), ("abc", "en"), (None, "fr")], "x string, lang string")
+    out = df.select("lang", tx.normalize_ws(F.col("x")).alias("n")).filter("lang = 'fr'")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Filter")
+    assert sorted(r.n for r in out.collect()) == ["", "\u00e9"]
