@@ -190,6 +190,33 @@ def test_near_lines(spark, distance):
     assert got == want and any(want.values()) and not all(want.values())
 
 
+def test_near_lines_of_registered_defaults(spark):
+    """Lines of 15 to 700 characters with a word put in, left out or replaced, or scattered characters: as brute force says."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdeé", k=rng.randint(2, 9)))
+    lines = []
+    for size in (2, 3, 4, 6, 8, 11, 14, 25, 38, 66):
+        base = [word() for _ in range(size)]
+        lines.append(" ".join(base))
+        for edit in range(8):
+            words, at = list(base), rng.randrange(size)
+            words[at : at + (edit % 3 != 0)] = [word()] * (edit % 3 != 1)
+            line = list(" ".join(words))
+            if edit > 4:
+                line = list(lines[-1 - rng.randrange(edit + 1)])
+                for _ in range(rng.randint(0, len(line) // 18)):
+                    line[(spot := rng.randrange(len(line))) : spot + rng.randint(0, 1)] = rng.choices("abé", k=rng.randint(0, 1))
+            lines.append("".join(line).strip())
+    lines = [x for x in dict.fromkeys(lines) if x]
+    rng.shuffle(lines)
+    got = {r.id: r.near for r in line_dedup.marked_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    bound = lambda a, b: min(len(a), len(b)) // 20
+    want = {
+        i: any(abs(len(s) - len(t)) <= bound(s, t) and 0 < edit_distance(s, t) <= bound(s, t) for s in lines[:i]) for i, t in enumerate(lines)
+    }
+    assert got == want and 20 < sum(want.values()) < len(want) - 20
+
+
 def test_line_dedup_text(spark, odd):
     data = [(1, "one common line of text, long enough\n\nshort\n alone "), (2, "short\none common line of text, long enougH\nfresh"), (3, "alone"), (None, "short")]
     out = {r.doc_id: (r.text, r._exact, r._near) for r in line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
