@@ -230,12 +230,13 @@ def similar_groups(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     thin = materialize(set_rows(rows.filter("id is not null"), n))
     total = thin.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    classes = materialize(thin.filter("n > 0").groupBy("fp").agg(F.min("id").alias("node")))
+    # one node per set, whatever ids hold it: an id with several texts has several sets
+    classes = materialize(thin.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id")).withColumn("node", F.xxhash64("fp")))
 
     dealt = deal_blocks(rows.filter("id is not null"), n, max(1, round(total / block)), block)
     counted = dealt.groupBy("block").applyInPandas(count_block, "batch long, kind int, a binary, b binary, c binary")
     able = counted.groupBy("batch").applyInPandas(above_bound(percent), "id long").distinct()
-    nodes = materialize(thin.join(able, "id", "left_semi").select("fp").distinct().join(classes, "fp").select("node", F.col("fp").alias("want")))
+    nodes = materialize(thin.join(able, "id", "left_semi").select("fp").distinct().join(classes, "fp").select("id", "node", F.col("fp").alias("want")))
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         salts = [np.uint64(s) for s in (0, 0x6A09E667F3BCC909, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B)]
@@ -247,7 +248,7 @@ def similar_groups(
                     out.append((node, len(grams), grams.view(np.int64), [int(np.min(mix(grams ^ s)).view(np.int64)) for s in salts]))
             yield pd.DataFrame(out, columns=["node", "n", "grams", "least"])
 
-    near = rows.filter(seen_in(nodes.select(F.col("node").alias("id")), ["id"])).join(nodes, F.col("id") == F.col("node")).select("node", "want", "text")
+    near = rows.filter(seen_in(nodes.select("id"), ["id"])).join(nodes, "id").select("node", "want", "text")
     sets = materialize(near.mapInPandas(sets_of, "node long, n long, grams array<long>, least array<long>").dropDuplicates(["node"]))
 
     weight = materialize(weights(sets))
@@ -263,7 +264,10 @@ def similar_groups(
     more = materialize(verified(cross_pairs(rare_grams(placed, percent), percent), sets, percent))
     if not more.isEmpty():
         found = materialize(components(links.unionByName(more)))
-    of_class = materialize(classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component")))
+    linked = classes.join(found, "node")
+    least = linked.groupBy("component").agg(F.min("id").alias("least"))
+    linked = linked.join(least, "component").select("node", "least")
+    of_class = materialize(classes.join(linked, "node", "left").select("fp", F.coalesce("least", "id").alias("component")))
     out = thin.join(of_class, "fp", "left").select(F.col("id"), "n", F.coalesce("component", "id").alias("component"))
     repeated = thin.groupBy("id").count().filter("count > 1")
     if not repeated.isEmpty():  # their texts are one node: join the components they lie in

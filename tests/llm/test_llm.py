@@ -155,6 +155,13 @@ def test_join_edge_cases(odd):
     assert {r.doc_id for r in ngram_join.keep_first(odd).collect()} == {None, 1, 2, 3, 4, 5, 8, 9, 11, 12}
 
 
+def test_join_links_by_each_text_of_an_id(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    data = [(1, text("a")), (1, text("b")), (2, text("a") + " more"), (3, text("b") + " more"), (4, text("c"))]
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (200, 199)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
