@@ -1,4 +1,4 @@
-"""Jaccard join on word n-grams: a blocked product of the document by n-gram incidence matrix with itself.
+"""Jaccard join on word n-grams: blocked counts drop single documents, a prefix-filter join finds the pairs.
 
 The columns (n-gram hashes) are dealt into blocks of a few million entries. A block finds which of its n-grams occur
 in several documents, and every document adds up over the blocks how many of its n-grams can overlap at
@@ -173,7 +173,7 @@ def star_pairs(keys: DataFrame, weight: DataFrame) -> DataFrame:
     the one it meets most often in another component.
 
     One pair per node, whatever a key's size. A set that is linked this way need not be compared with the rest of
-    its group, since only components are asked for; what it leaves out, the exact product finds.
+    its group, since only components are asked for; what it leaves out, ``cross_pairs`` finds.
     """
     ranked = keys.join(weight, "node")
     centers = materialize(ranked.groupBy("key").agg(
