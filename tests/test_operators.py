@@ -218,13 +218,13 @@ def test_vocab_and_sequences(spark):
 
 def test_tfidf_rows_have_unit_length(spark):
     df = spark.createDataFrame([("1", "aa bb aa"), ("2", "aa cc"), ("3", "zz")], "id string, t string")
-    counts = tfidf.term_counts(df, "t")
-    v = tfidf.tfidf_vocab(counts, df, min_df=1)
-    lengths = tfidf.tfidf_weights(counts, v).groupBy("id").agg(F.sum(F.col("tfidf") ** 2).alias("l")).collect()
+    rows = tfidf.term_rows(df, "t")
+    v = tfidf.tfidf_vocab(rows, min_df=1)
+    lengths = tfidf.tfidf_weights(rows, v).groupBy("id").agg(F.sum(F.col("tfidf") ** 2).alias("l")).collect()
     assert all(math.isclose(r.l, 1.0) for r in lengths)
     assert {r.term: (r.df, r.cf) for r in v.collect()}["aa"] == (2, 3)
     unknown = spark.createDataFrame([("9", "qq rr")], "id string, t string")
-    space = md.VectorSpace(v, v.count(), False)
+    space = md.VectorSpace(v, False)
     assert space.vectors(unknown, "t").first().features.numNonzeros() == 0
 
 
@@ -251,7 +251,7 @@ def test_classical_model_learns_and_survives_storage(spark, tmp_path):
 
 def test_models_beat_the_majority(spark):
     train, valid, space = md.split_vectors(planted(spark), "text", 200)
-    board = md.train_and_compare(train, valid, space.size, rf_trees=10, rf_depth=5, gbt_rounds=3, gbt_depth=2, svm_iter=20, mlp_hidden=(8,), mlp_iter=60).collect()
+    board = md.train_and_compare(train, valid, space.size, rf_trees=10, rf_depth=5, gbt_rounds=3, gbt_depth=2, mlp_hidden=(8,), mlp_iter=60).collect()
     assert len(board) == 6 and [r.f1_macro for r in board] == sorted((r.f1_macro for r in board), reverse=True)
     assert all(r.accuracy > 0.5 for r in board)
 
