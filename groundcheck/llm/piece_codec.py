@@ -18,16 +18,24 @@ COARSE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class PartIds(dict):
-    """Ids of the parts met so far, worked out on a miss and forgotten beyond ``limit`` parts."""
+    """Ids of the parts met lately, worked out on a miss.
+
+    Two generations of ``limit`` / 2 parts: when the young one is full the old one is forgotten and the young one takes its place. A part that
+    is met again in time moves back to the young one, so frequent parts are never worked out twice, however many rare ones pass.
+    """
 
     def __init__(self, ids: Callable[[str], bytes], limit: int):
         super().__init__()
-        self.ids, self.limit = ids, limit
+        self.ids, self.half, self.old = ids, max(1, limit // 2), {}
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= self.limit:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.ids(part)
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        ids = self[part] = self.ids(part)
+        self[part] = ids
         return ids
 
 
@@ -63,10 +71,13 @@ class Codec:
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id_of):
             self.parts = re.compile("(?s:.+)")
         control = {i for i in range(len(self.pieces)) if model.is_control(i)}
-        self.decoded = [
+        decoded = [
             b"" if i in control else bytes([int(p[3:5], 16)]) if model.is_byte(i) else b" \xe2\x81\x87 " if model.is_unknown(i) else p.replace(SPACE, " ").encode()
             for i, p in enumerate(self.pieces)
         ]
+        self.bytes = np.frombuffer(b"".join(decoded), dtype=np.uint8)
+        self.lengths = np.array([len(x) for x in decoded], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.known = PartIds(self.part_ids, limit)
         self.fits: dict[tuple[str, str], bool] = {}
 
@@ -116,9 +127,23 @@ class Codec:
             return b""
         return b"".join(map(self.known.__getitem__, self.parts.findall(SPACE + text.replace(" ", SPACE))))
 
-    def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.decoded.__getitem__, ids.tolist())).decode(errors="replace")
-        return text[1:] if text.startswith(" ") else text
+    def decode_all(self, ids: np.ndarray, sizes: np.ndarray, most: int = 1 << 18) -> list[str]:
+        """The texts of consecutive runs of ``ids`` of the given sizes. The pieces' bytes are gathered for about ``most`` ids at once."""
+        ends, texts, start = np.concatenate(([0], np.cumsum(sizes))), [], 0
+        while start < len(sizes):
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
+            texts += self._gathered(ids[ends[start] : ends[stop]], sizes[start:stop])
+            start = stop
+        return texts
+
+    def _gathered(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+        raw = self.bytes[at].tobytes()
+        borders = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+        texts = [raw[i:j].decode(errors="replace") for i, j in zip(borders, borders[1:])]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -151,7 +176,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
     def to_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path)
         for lists in batches:
-            values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            yield pa.array([own.decode(values[i:j]) for i, j in zip(offsets, offsets[1:])], pa.string())
+            offsets = lists.offsets.to_numpy()
+            yield pa.array(own.decode_all(lists.flatten().to_numpy(zero_copy_only=False), np.diff(offsets)), pa.string())
 
     return rows.withColumn(text_col, to_text(F.coalesce(F.col(ids_col), F.array().cast("array<int>"))))

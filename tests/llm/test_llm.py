@@ -327,10 +327,12 @@ def test_piece_codec(spark, docs, odd):
     texts = [*docs.values(), *[t or "" for _, t in ROWS], "  two  spaces ", "a\nb\t", "ＦＵＬＬ Привет мир नमस्ते 12345 (x+y)==z; don't", "▁▁x"]
     own = piece_codec.Codec(PIECES, limit=2_000)
     encoded = [np.frombuffer(own.encode(t), dtype="<i4").tolist() for t in texts]
-    assert encoded == model.encode(texts) and [own.decode(np.array(x)) for x in encoded] == model.decode(encoded)
+    assert encoded == model.encode(texts) and own.decode_all(np.concatenate([np.array(x, dtype=np.int64) for x in encoded]), np.array([len(x) for x in encoded]), 50) == model.decode(encoded)
     coarse = piece_codec.Codec(PIECES)
     coarse.parts = piece_codec.COARSE
     assert np.frombuffer(coarse.encode(texts[0]), dtype="<i4").tolist() == encoded[0]
+    met = piece_codec.PartIds(str.encode, 4)
+    assert [met[p] for p in "abacadabae"] == [p.encode() for p in "abacadabae"] and len(met) <= 2 and len(met.old) <= 2 and "a" in met
     got = QUERIES["op5_piece_codec"](spark, SF)
     assert got.filter("not round_trip").count() == 0 and got.count() == len(docs)
     lost = rows(piece_codec.decode(piece_codec.encode(odd, PIECES), PIECES).filter("coalesce(text, '') <> decoded"), "doc_id")
