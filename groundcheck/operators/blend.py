@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.proba import argmax_label, blend as blend_arrays
-from ..schema import DEFAULT_BLEND
-from .evaluate import cell_counts, scores_of_cells
+from ..schema import DEFAULT_BLEND, LABELS
+from .evaluate import scores_of_cells
 
 SOURCES = ["classical", "transformer", "rule"]
 
@@ -41,33 +45,47 @@ def blend_predict(sources: DataFrame, weights: tuple[float, float, float] | Data
     return blend(sources, weights).withColumn("predict_label", argmax_label(F.col("proba")))
 
 
-def with_weight_grid(df: DataFrame, steps: int, start: tuple[float, float, float] = DEFAULT_BLEND) -> DataFrame:
-    """Every row with every point of the weight simplex, and ``ord``: 0 for the start point, else 1.
+def weight_grid(steps: int, start: tuple[float, float, float] = DEFAULT_BLEND) -> np.ndarray:
+    """Points x sources: the start point, scaled to sum to 1, then the points of the weight simplex in rising order."""
+    rest = [(i / steps, j / steps, (steps - i - j) / steps) for i in range(steps + 1) for j in range(steps + 1 - i)]
+    return np.array([[w / sum(start) for w in start], *rest])
 
-    The points come from two sequences inside the row's own task, no second table is involved.
+
+def grid_counts(sources: DataFrame, grid: np.ndarray, cells: int = 1 << 20) -> DataFrame:
+    """``(point, y, p, n)``: for each point of ``grid``, rows per label and blended prediction.
+
+    A batch is scored against all points at once, as a product of rows x sources by sources x points, about ``cells`` values at a time. Rows are
+    never multiplied by points: a task hands on at most points x 9 counts.
     """
-    at_start = F.col("_i") < 0
-    first = df.withColumn("_i", F.explode(F.sequence(F.lit(-1), F.lit(steps))))
-    rest = first.withColumn("_j", F.explode(F.sequence(F.lit(0), F.when(at_start, 0).otherwise(steps - F.col("_i")))))
-    parts = [F.col("_i"), F.col("_j"), steps - F.col("_i") - F.col("_j")]
-    return rest.withColumns({
-        "ord": F.when(at_start, 0).otherwise(1),
-        **{f"w_{s}": F.when(at_start, w / sum(start)).otherwise(p / steps) for s, w, p in zip(SOURCES, start, parts)},
-    }).drop("_i", "_j")
+    names = pa.array(LABELS)
+    k = len(LABELS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(grid), k + 1, k), dtype=np.int64)  # the last row is for labels outside the domain
+        for batch in batches:
+            y = pc.fill_null(pc.index_in(batch.column("label"), value_set=names), k).to_numpy(zero_copy_only=False)
+            parts = [batch.column(s).flatten().to_numpy(zero_copy_only=False).reshape(-1, k) for s in SOURCES]
+            step = max(1, cells // (len(grid) * k))
+            for at in range(0, len(y), step):
+                # summed source by source, in their order, as in a single row's blend: ties fall alike
+                scores = sum(grid[:, None, None, i] * part[None, at : at + step] for i, part in enumerate(parts))
+                best = scores.argmax(axis=2)
+                cell = (np.arange(len(grid))[:, None] * (k + 1) + y[None, at : at + step]) * k + best
+                total += np.bincount(cell.ravel(), minlength=total.size).reshape(total.shape)
+        point, label, vote = np.nonzero(total)
+        yield pa.RecordBatch.from_pydict({
+            "point": point.astype(np.int32), "y": pa.array([*LABELS, None]).take(pa.array(label)), "p": names.take(pa.array(vote)), "n": total[point, label, vote]})
+
+    found = sources.select("label", *SOURCES).mapInArrow(run, "point int, y string, p string, n long")
+    return found.groupBy("point", "y", "p").agg(F.sum("n").alias("n"))
 
 
 def blend_scores(sources: DataFrame, steps: int = 20, start: tuple[float, float, float] = DEFAULT_BLEND) -> DataFrame:
-    """Macro-F1 and accuracy of every grid point on the rows of ``sources`` (which has ``label``).
-
-    Each row meets each point where it lies and is counted at once, so what is shuffled is at most
-    points x 9 counts per task, never rows x points.
-    """
-    weights = [f"w_{s}" for s in SOURCES]
-    points = with_weight_grid(sources.select("label", *SOURCES), steps, start)
-    blended = blend_arrays([F.col(s) for s in SOURCES], [F.col(w) for w in weights])
-    mixed = points.select("ord", *weights, "label", blended.alias("proba"))
-    by = ["ord", *weights]
-    return scores_of_cells(cell_counts(mixed.withColumn("predict_label", argmax_label(F.col("proba"))), by=by), by)
+    """Macro-F1 and accuracy of every grid point on the rows of ``sources`` (which has ``label``), with ``ord``: 0 for the start point, else 1."""
+    grid = weight_grid(steps, start)
+    points = F.array(*[F.struct(*[F.lit(float(w)).alias(f"w_{s}") for s, w in zip(SOURCES, row)]) for row in grid])
+    scored = scores_of_cells(grid_counts(sources, grid), ["point"]).withColumn("_w", F.get(points, F.col("point")))
+    return scored.select(F.when(F.col("point") == 0, 0).otherwise(1).alias("ord"), "_w.*", "macro_f1", "weighted_f1", "accuracy", "n")
 
 
 def fit_blend_weights(sources: DataFrame, steps: int = 20, start: tuple[float, float, float] = DEFAULT_BLEND) -> DataFrame:

@@ -2,120 +2,114 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable, Iterable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as tx
-from ..functions.overlap import ngrams
 from ..schema import METHODS, PROMPTING_METHODS, SEGMENTING_METHODS
 from .contracts import present_text_columns
 
-LONGEST_COMPOUND = 4
-
-
-def segment_words(df: DataFrame, column: str, out: str, lexicon: DataFrame | None, row_id: str = "id") -> DataFrame:
-    """Join the words of known compounds by ``_``, leftmost and longest first.
-
-    ``lexicon`` has one column ``compound`` (2 to 4 words, single spaces). Without one the text
-    only has its white space collapsed. Candidates meet the lexicon in an ordinary equi-join, so
-    Spark broadcasts a small lexicon and shuffles a large one (stored, it leaves a plain exchange on
-    both sides, so AQE can split the partition of a very common candidate). The hits of one row,
-    bounded by its own text, are folded back into it.
+LONGEST_COMPOUND = 4  # words of the compounds that the test fixtures list
+#: The lexicon is held by every task as a trie; larger ones are refused.
+MOST_COMPOUNDS = 2_000_000
+END = ""  # marks a trie node at which a compound ends; no word is empty
+
+
+def compound_trie(compounds: Iterable[str]) -> dict:
+    """Nested maps, word by word. Entries of one word join nothing and are left out."""
+    trie: dict = {}
+    for compound in compounds:
+        words = compound.split(" ")
+        if len(words) > 1:
+            node = trie
+            for word in words:
+                node = node.setdefault(word, {})
+            node[END] = {}
+    return trie
+
+
+def join_compounds(text: str, trie: dict) -> str:
+    """The words of ``text`` (single spaces) with known compounds joined by ``_``, leftmost and longest first: one walk over the words."""
+    words, out, i = text.split(" "), [], 0
+    while i < len(words):
+        node, end, j = trie.get(words[i]), i + 1, i + 1
+        while node is not None:
+            if END in node:
+                end = j
+            node, j = (node.get(words[j]) if j < len(words) else None), j + 1
+        out.append(words[i] if end == i + 1 else "_".join(words[i:end]))
+        i = end
+    return " ".join(out)
+
+
+def segmenter(lexicon: DataFrame | None) -> Callable[[Column], Column]:
+    """A column function that joins the words of known compounds by ``_``; without a lexicon it collapses white space.
+
+    ``lexicon`` has one column ``compound`` (two or more words, single spaces). It is read once, here, and held by the tasks, so each text is
+    segmented in its own row: no join, no shuffle, and any number of columns in one pass over the batch.
     """
-    tokens = tx.ws_tokenize(F.col(column))
     if lexicon is None:
-        return df.withColumn(out, F.array_join(tokens, " "))
+        return lambda text: tx.collapse_ws(tx.fill_text(text))
+    table = lexicon.select("compound").filter("compound is not null").limit(MOST_COMPOUNDS + 1).toArrow()
+    if len(table) > MOST_COMPOUNDS:
+        raise ValueError(f"the lexicon holds more than {MOST_COMPOUNDS} compounds")
+    held = lexicon.sparkSession.sparkContext.broadcast(compound_trie(table.column("compound").to_pylist()))
 
-    def placed(n: int) -> Column:
-        grams = ngrams(F.col("_t"), n, " ")
-        return F.transform(
-            grams, lambda g, i: F.struct(g.alias("compound"), i.cast("int").alias("pos"), F.lit(n).alias("n"))
-        )
+    def segment(texts: pa.Array) -> pa.Array:
+        trie = held.value
+        return pa.array([join_compounds(t, trie) for t in texts.to_pylist()], pa.string())
 
-    words = df.select(row_id, tokens.alias("_t"))
-    candidates = words.select(
-        row_id, F.inline(F.concat(*[placed(n) for n in range(2, LONGEST_COMPOUND + 1)]))
-    )
-    hits = (
-        candidates.join(lexicon.select("compound"), "compound", "left_semi")
-        .groupBy(row_id)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("n")).alias("rank")))).alias("_hits"))
-    )
+    return lambda text: F.arrow_udf(segment, T.StringType())(tx.collapse_ws(tx.fill_text(text)))
 
-    def take(state: Column, hit: Column) -> Column:
-        n = -hit["rank"]
-        before = F.slice(F.col("_t"), state["next"] + 1, hit["pos"] - state["next"])
-        compound = F.array_join(F.slice(F.col("_t"), hit["pos"] + 1, n), "_")
-        taken = F.struct(
-            (hit["pos"] + n).alias("next"), F.concat(state["out"], before, F.array(compound)).alias("out")
-        )
-        return F.when(hit["pos"] >= state["next"], taken).otherwise(state)
 
-    def finish(state: Column) -> Column:
-        rest = F.slice(F.col("_t"), state["next"] + 1, F.size(F.col("_t")))
-        return F.array_join(F.concat(state["out"], rest), " ")
+def segment_words(df: DataFrame, column: str, out: str, lexicon: DataFrame | None) -> DataFrame:
+    """``df`` with ``out``: the text of ``column`` segmented by ``segmenter``."""
+    return df.withColumn(out, segmenter(lexicon)(F.col(column)))
 
-    start = F.expr("named_struct('next', 0, 'out', cast(array() as array<string>))")
-    joined = df.withColumn("_t", tokens).join(hits, row_id, "left")
-    folded = F.aggregate(F.col("_hits"), start, take, finish)
-    return joined.withColumn(out, F.coalesce(folded, F.array_join("_t", " "))).drop("_t", "_hits")
 
+def remove_stopwords(tokens: Column, stopwords: Column | list[str]) -> Column:
+    """Drop tokens whose lower case is in the list; an empty list drops none. The texts stay in place."""
+    if isinstance(stopwords, list):
+        return F.filter(tokens, lambda t: ~F.lower(t).isin(stopwords)) if stopwords else tokens
+    return F.filter(tokens, lambda t: ~F.array_contains(stopwords, F.lower(t)))
 
-def remove_stopwords(tokens: Column, stopwords: list[str]) -> Column:
-    """Drop tokens whose lower case is in a (short) list; an empty list drops none."""
-    if not stopwords:
-        return tokens
-    return F.filter(tokens, lambda t: ~F.lower(t).isin(stopwords))
 
+def drop_stopwords(df: DataFrame, columns: dict[str, str], stopwords: DataFrame | list[str]) -> DataFrame:
+    """``df`` with, for each ``out: column``, the tokens of ``column`` that are no stop words, joined by spaces.
 
-def drop_stopwords(
-    df: DataFrame, column: str, out: str, stopwords: DataFrame, row_id: str = "id", inline_limit: int = 2_000
-) -> DataFrame:
-    """The same for a stop list held as a table with one column ``word``.
-
-    A list of at most ``inline_limit`` words becomes part of the expression, and the texts stay in
-    place. A longer one is an anti-join of the exploded tokens.
+    A stop list may be a table with one column ``word``: the query reads it as one array when it runs, without a join.
     """
-    listed = [r[0] for r in stopwords.select("word").distinct().limit(inline_limit + 1).collect()]
-    if len(listed) <= inline_limit:
-        return df.withColumn(out, F.array_join(remove_stopwords(tx.ws_tokenize(F.col(column)), listed), " "))
-    tokens = df.select(row_id, F.posexplode(tx.ws_tokenize(F.col(column))).alias("pos", "token"))
-    kept = (
-        tokens.withColumn("word", F.lower("token"))
-        .join(stopwords.select("word"), "word", "left_anti")
-        .groupBy(row_id)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_kept"))
-    )
-    joined = df.join(kept, row_id, "left")
-    return joined.withColumn(out, F.coalesce(F.array_join(F.col("_kept.token"), " "), F.lit(""))).drop("_kept")
+    if isinstance(stopwords, DataFrame):
+        words = F.coalesce(stopwords.agg(F.collect_set("word")).scalar(), F.array().cast("array<string>"))
+        df, listed = df.withColumn("_stop", words), F.col("_stop")
+    else:
+        listed = stopwords
+    out = df.withColumns({o: F.array_join(remove_stopwords(tx.ws_tokenize(F.col(c)), listed), " ") for o, c in columns.items()})
+    return out.drop("_stop") if isinstance(stopwords, DataFrame) else out
 
 
 def preprocess(
-    df: DataFrame,
-    method: str = "baseline",
-    lexicon: DataFrame | None = None,
-    stopwords: list[str] | None = None,
-    row_id: str = "id",
+    df: DataFrame, method: str = "baseline", lexicon: DataFrame | None = None, stopwords: DataFrame | list[str] | None = None,
 ) -> DataFrame:
-    """Add ``{c}_clean, {c}_tok, {c}_char_len, {c}_token_len`` per text column, and the judge prompt.
+    """Add ``{c}_clean, {c}_tok, {c}_char_len, {c}_token_len`` per text column, and the judge prompt: one projection over the scan.
 
-    Without a lexicon this is one projection over the scan.
+    Methods that segment lower the clean text, join the compounds of ``lexicon`` and drop ``stopwords``, if given.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}, expected one of {METHODS}")
     columns = present_text_columns(df)
     out = df.withColumns({f"{c}_clean": tx.clean_text(F.col(c)) for c in columns})
+    tokens = {c: F.col(f"{c}_clean") for c in columns}
     if method in SEGMENTING_METHODS:
-        out = out.withColumns({f"{c}_tok": F.lower(f"{c}_clean") for c in columns})
+        tokens = {c: F.lower(t) for c, t in tokens.items()}
         if lexicon is not None:
-            for c in columns:
-                out = segment_words(out, f"{c}_tok", f"{c}_tok", lexicon, row_id)
-        if stopwords:
-            out = out.withColumns({
-                f"{c}_tok": F.array_join(remove_stopwords(tx.ws_tokenize(F.col(f"{c}_tok")), stopwords), " ")
-                for c in columns
-            })
-    else:
-        out = out.withColumns({f"{c}_tok": F.col(f"{c}_clean") for c in columns})
+            segment = segmenter(lexicon)
+            tokens = {c: segment(t) for c, t in tokens.items()}
+    out = out.withColumns({f"{c}_tok": t for c, t in tokens.items()})
+    if method in SEGMENTING_METHODS and stopwords is not None:
+        out = drop_stopwords(out, {f"{c}_tok": f"{c}_tok" for c in columns}, stopwords)
     lengths = {}
     for c in columns:
         lengths[f"{c}_char_len"] = F.length(f"{c}_clean")
@@ -127,15 +121,16 @@ def preprocess(
     return out
 
 
-def serialize(df: DataFrame, text_mode: str = "raw", lexicon: DataFrame | None = None, row_id: str = "id") -> DataFrame:
+def serialize(df: DataFrame, text_mode: str = "raw", lexicon: DataFrame | None = None) -> DataFrame:
     """Add ``serialized_text`` from the normalised (or segmented) texts."""
-    names = {c: f"_{c}" for c in ("context", "prompt", "response")}
-    out = df.withColumns({n: tx.normalize_ws(F.col(c)) for c, n in names.items()})
+    parts = {c: tx.normalize_ws(F.col(c)) for c in ("context", "prompt", "response")}
     if text_mode == "word_segmented":
-        for n in names.values():
-            out = segment_words(out, n, n, lexicon, row_id)
+        segment = segmenter(lexicon)
+        parts = {c: segment(p) for c, p in parts.items()}
     elif text_mode != "raw":
         raise ValueError(f"unknown text mode {text_mode!r}")
+    names = {c: f"_{c}" for c in parts}
+    out = df.withColumns({names[c]: p for c, p in parts.items()})
     joined = tx.serialize_triplet(*[F.col(n) for n in names.values()])
     return out.withColumn("serialized_text", joined).drop(*names.values())
 

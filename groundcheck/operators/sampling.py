@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
+from .ordering import running_before
 
 PREFIX = 4  # hex digits, so 65,536 prefixes per class
 
@@ -23,23 +24,18 @@ def class_quotas(df: DataFrame, label: str, draws) -> DataFrame:
     """Rows to draw per class so that they sum to the wanted total: largest remainders first.
 
     ``draws(total, classes)`` gives the wanted total from the table's row and class counts. The
-    result has one row per class; null is a class like any other. Only the class table, one narrow row per class, is
-    ordered in one place.
+    result has one row per class; null is a class like any other. Totals are plain sums and the largest remainders come from a running count over
+    slices, so a label column of any size is ordered by many tasks.
     """
-    everything = Window.partitionBy()
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    wanted = counts.select(
-        label, "_n", F.sum("_n").over(everything).alias("_total"), F.count(F.lit(1)).over(everything).alias("_k")
-    )
-    wanted = wanted.withColumn("_draws", draws(F.col("_total"), F.col("_k")).cast("long"))
-    shares = wanted.select(
-        label, "_draws",
-        F.expr("(_n * _draws) div _total").alias("_base"),
-        F.expr("(_n * _draws) % _total").alias("_rest"),
-    )
-    place = F.row_number().over(Window.orderBy(F.desc("_rest"), F.asc(label)))
-    left = F.col("_draws") - F.sum("_base").over(everything)
-    return shares.select(label, (F.col("_base") + (place <= left).cast("long")).alias("quota"))
+    counts = materialize(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")))
+    totals = counts.agg(F.struct(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("classes")).alias("t")).scalar()
+    wanted = counts.withColumn("_total", totals["rows"]).withColumn("_draws", draws(F.col("_total"), totals["classes"]).cast("long"))
+    shares = materialize(wanted.select(
+        label, "_draws", F.expr("(_n * _draws) div _total").alias("_base"), F.expr("(_n * _draws) % _total").alias("_rest"), F.lit(1).alias("_one"),
+    ).withColumn("_order", F.struct(-F.col("_rest"), F.col(label))))
+    left = F.col("_draws") - shares.agg(F.sum("_base")).scalar()
+    ranked = running_before(shares, "_order", ["_one"])
+    return ranked.select(label, (F.col("_base") + (F.col("_one_before") < left).cast("long")).alias("quota"))
 
 
 def _by_class(df: DataFrame, classes: DataFrame, label: str, *more: str, how: str = "inner") -> DataFrame:

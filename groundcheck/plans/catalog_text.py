@@ -47,30 +47,64 @@ def ws_tokenize(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", joined(tx.ws_tokenize(F.col("text")), "tokens"))
 
 
-SEGMENT_EXTRA = [
-    f"seg_words AS (SELECT id, {o.ws_tokens(o.norm('context'))} AS t FROM triplets)",
-    "seg_grams AS (" + " UNION ALL ".join(
-        f"SELECT id, unnest(range(0, len(t) - {n} + 1)) AS pos, {n} AS n, unnest({o.ngrams('t', n, chr(39) + ' ' + chr(39))}) AS compound FROM seg_words"
-        for n in (2, 3, 4)
-    ) + ")",
-    "seg_hits AS (SELECT id, pos, max(n) AS n FROM seg_grams JOIN lexicon USING (compound) GROUP BY id, pos)",
-    """seg_spans AS (
-  SELECT id, min(pos) AS pos, arg_min(n, pos) AS n FROM seg_hits GROUP BY id
+def segment_ctes(name, source, text):
+    """``{name}`` (id, text): the texts of ``source`` with the compounds of ``lexicon`` joined, by a walk over the hits of each text."""
+    grams = " UNION ALL ".join(
+        f"SELECT id, unnest(range(0, len(t) - {n} + 1)) AS pos, {n} AS n, unnest({o.ngrams('t', n, chr(39) + ' ' + chr(39))}) AS compound FROM {name}_words"
+        for n in (2, 3, 4))
+    return [
+        f"{name}_words AS (SELECT id, {o.ws_tokens(text)} AS t FROM {source})",
+        f"{name}_grams AS ({grams})",
+        f"{name}_hits AS (SELECT id, pos, max(n) AS n FROM {name}_grams JOIN lexicon USING (compound) GROUP BY id, pos)",
+        f"""{name}_spans AS (
+  SELECT id, min(pos) AS pos, arg_min(n, pos) AS n FROM {name}_hits GROUP BY id
   UNION ALL
-  SELECT h.id, min(h.pos), arg_min(h.n, h.pos) FROM seg_spans s JOIN seg_hits h ON h.id = s.id AND h.pos >= s.pos + s.n GROUP BY h.id)""",
-    "seg_glued AS (SELECT DISTINCT id, unnest(range(pos + 1, pos + n)) AS i FROM seg_spans)",
-    "seg_tokens AS (SELECT id, unnest(range(0, len(t))) AS i, unnest(t) AS token FROM seg_words)",
-]
+  SELECT h.id, min(h.pos), arg_min(h.n, h.pos) FROM {name}_spans s JOIN {name}_hits h ON h.id = s.id AND h.pos >= s.pos + s.n GROUP BY h.id)""",
+        f"{name}_glued AS (SELECT DISTINCT id, unnest(range(pos + 1, pos + n)) AS i FROM {name}_spans)",
+        f"{name}_tokens AS (SELECT id, unnest(range(0, len(t))) AS i, unnest(t) AS token FROM {name}_words)",
+        f"""{name} AS (
+  SELECT w.id, coalesce(x.text, '') AS text FROM {name}_words w LEFT JOIN (
+    SELECT t.id, string_agg(CASE WHEN t.i = 0 THEN '' WHEN g.i IS NOT NULL THEN '_' ELSE ' ' END || t.token, '' ORDER BY t.i) AS text
+    FROM {name}_tokens t LEFT JOIN {name}_glued g ON g.id = t.id AND g.i = t.i GROUP BY t.id) x ON x.id = w.id)""",
+    ]
 
 
-@query("segment_words", texts_sql(["triplets", "lexicon"], """
-SELECT t.id, string_agg(CASE WHEN t.i = 0 THEN '' WHEN g.i IS NOT NULL THEN '_' ELSE ' ' END || t.token, '' ORDER BY t.i) AS text
-FROM seg_tokens t LEFT JOIN seg_glued g ON g.id = t.id AND g.i = t.i GROUP BY t.id""", SEGMENT_EXTRA, recursive=True))
+@query("segment_words", texts_sql(["triplets", "lexicon"], "SELECT id, text FROM seg", segment_ctes("seg", "triplets", o.norm("context")), recursive=True))
 def segment_words(spark, sf):
     df = fx.texts(spark, sf).withColumn("context", tx.normalize_ws(F.col("context")))
     return pp.segment_words(df, "context", "text", fx.lexicon(spark, sf)).select("id", "text")
 
 
+COLUMNS = ("context", "prompt", "response")
+SEGMENTED = [x for c in COLUMNS for x in segment_ctes(f"seg_{c}", "triplets", o.norm(c))]
+
+
+@query("serialize_segmented", texts_sql(["triplets", "lexicon"], """
+SELECT c.id, '[CLS] ' || c.text || ' [SEP] ' || p.text || ' [SEP] ' || r.text || ' [SEP]' AS serialized_text
+FROM seg_context c JOIN seg_prompt p ON p.id = c.id JOIN seg_response r ON r.id = c.id""", SEGMENTED, recursive=True))
+def serialize_segmented(spark, sf):
+    return pp.serialize(fx.texts(spark, sf), "word_segmented", fx.lexicon(spark, sf)).select("id", "serialized_text")
+
+
+STOP_SQL = f"""stop AS (
+  SELECT word FROM (SELECT DISTINCT item_id, unnest({o.ws_tokens('lower(text)')}) AS word FROM benchmark)
+  GROUP BY word HAVING count(*) * 5 >= (SELECT count(*) FROM benchmark))"""
+
+
+def _full_columns():
+    kept = "list_filter(string_split({0}.text, ' '), lambda t: t <> '' AND NOT list_contains(s.words, lower(t)))"
+    return ", ".join(f"array_to_string({kept.format(c[0])}, ' ') AS {c}_tok, CAST(len({kept.format(c[0])}) AS BIGINT) AS {c}_token_len" for c in COLUMNS)
+
+
+@query("preprocess_full", texts_sql(["cleaned", "lexicon"], f"""
+SELECT c.id, {_full_columns()} FROM full_context c JOIN full_prompt p ON p.id = c.id JOIN full_response r ON r.id = c.id, (SELECT list(word) AS words FROM stop) s""",
+    [x for c in COLUMNS for x in segment_ctes(f"full_{c}", "cleaned", f"lower({c}_clean)")] + [STOP_SQL], recursive=True))
+def preprocess_full(spark, sf):
+    """All steps at once: clean, lower, join the compounds of a lexicon, drop the words of a stop list."""
+    df = pp.preprocess(fx.texts(spark, sf), "baseline", fx.lexicon(spark, sf), fx.stopwords(spark, sf))
+    return df.select("id", *[x for c in COLUMNS for x in (f"{c}_tok", big(f"{c}_token_len"))])
+
+
 @query("resolve_text_mode", sql(["models"], """
 SELECT model_name, CASE WHEN contains(lower(model_name), 'phobert') THEN 'word_segmented' ELSE 'raw' END AS text_mode FROM models"""))
 def resolve_text_mode(spark, sf):
@@ -79,14 +113,12 @@ def resolve_text_mode(spark, sf):
 
 @query("remove_stopwords", f"""
 WITH w AS (SELECT doc_id, {o.ws_tokens('text')} AS t FROM documents),
-stop AS (
-  SELECT word FROM (SELECT DISTINCT item_id, unnest({o.ws_tokens('lower(text)')}) AS word FROM benchmark)
-  GROUP BY word HAVING count(*) * 5 >= (SELECT count(*) FROM benchmark))
+{STOP_SQL}
 SELECT doc_id, coalesce(string_agg(token, ' ' ORDER BY i) FILTER (lower(token) NOT IN (SELECT word FROM stop)), '') AS text
 FROM (SELECT doc_id, unnest(range(0, len(t))) AS i, unnest(t) AS token FROM w) GROUP BY doc_id""")
 def remove_stopwords(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", "text")
-    return pp.drop_stopwords(docs, "text", "text", fx.stopwords(spark, sf), "doc_id")
+    return pp.drop_stopwords(docs, {"text": "text"}, fx.stopwords(spark, sf))
 
 
 @query("char_len", f"SELECT page_id, CAST(length({o.clean('html')}) AS BIGINT) AS n FROM pages")

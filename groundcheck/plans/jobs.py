@@ -15,13 +15,13 @@ from ..sources import sinks, tables
 
 def preprocess_job(
     spark: SparkSession, input_path: str, output_path: str, method: str = "baseline", sample: int = 0,
-    lexicon: DataFrame | None = None, multi_line: bool = True,
+    lexicon: DataFrame | None = None, stopwords: DataFrame | list[str] | None = None, multi_line: bool = True,
 ) -> DataFrame:
-    """Clean and tokenise a CSV or parquet table; the statistics go to ``preprocess_stats`` beside the output."""
+    """Clean, tokenise, segment and sift a CSV or parquet table; the statistics go to ``preprocess_stats`` beside the output."""
     df = tables.read_table(spark, input_path, multi_line)
     df = sampling.random_sample(df, sample, seed=0, clamp=False)
     # the output and its statistics read the same stored rows
-    out = materialize(pp.preprocess(df, method, lexicon))
+    out = materialize(pp.preprocess(df, method, lexicon, stopwords))
     sinks.write_preprocessed(out, output_path)
     sinks.write_preprocess_stats(out, os.path.join(os.path.dirname(output_path.rstrip("/")), "preprocess_stats"))
     return out

@@ -10,6 +10,7 @@ from ..functions.text import fill_text
 from ..operators.contracts import require_columns, require_known_labels, with_label_id
 from ..operators.preprocess import serialize
 from ..schema import ID, LABEL, NA_STRINGS, PREDICTED, TEXT_COLUMNS
+from .csv_records import read_records
 
 # RFC 4180 quoting; texts hold line breaks, and blanks at the ends are data.
 CSV_OPTIONS = {
@@ -21,14 +22,16 @@ CSV_OPTIONS = {
 def read_any_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """All columns as text, by the header's names, so that the column order is free.
 
-    The files of one folder share one header; a file with another header is an error, never read by position
-    (``enforceSchema``). Files with different column orders are given as a list of paths: each is read by its own header
-    and they meet by name. With line breaks inside texts a file is read by one task: store a large table as many files, or
-    as parquet. ``multi_line=False`` lets Spark split the files.
+    The files of one folder share one header; a file with another header is an error, never read by position. Files with different
+    column orders are given as a list of paths: each is read by its own header and they meet by name. Files are split, also where texts hold line
+    breaks (``csv_records``); quotes must then stand as RFC 4180 has them. ``multi_line=False`` saves the scan that counts the quotes.
     """
     reader = spark.read.options(**CSV_OPTIONS, multiLine=multi_line, enforceSchema=False)
     paths = [path] if isinstance(path, str) else path
-    return reduce(DataFrame.unionByName, [reader.csv(p) for p in paths])
+    if not multi_line:
+        return reduce(DataFrame.unionByName, [reader.csv(p) for p in paths])
+    # the columns come from the first record alone
+    return reduce(DataFrame.unionByName, [read_records(spark, p, reader.csv(p).columns, CSV_OPTIONS) for p in paths])
 
 
 def _is_parquet(path: str | list[str]) -> bool:

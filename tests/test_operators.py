@@ -133,7 +133,13 @@ def test_blend_fit_is_never_worse_than_its_start(spark):
     start = ev.scores(bl.blend_predict(df)).first().macro_f1
     assert best.macro_f1 >= start and math.isclose(best.classical + best.transformer + best.rule, 1.0)
     assert math.isclose(ev.scores(bl.blend_predict(df, fit)).first().macro_f1, best.macro_f1)
-    assert bl.with_weight_grid(df.limit(1), 10).count() == 67
+    assert len(bl.weight_grid(10)) == 67
+    # each point's counts are those of the blend with its weights
+    board = bl.blend_scores(df, 4)
+    for r in board.collect():
+        assert math.isclose(r.macro_f1, ev.scores(bl.blend_predict(df, (r.w_classical, r.w_transformer, r.w_rule))).first().macro_f1)
+    plan = board._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Cartesian" not in plan
 
 
 def greedy(vectors, tau):
@@ -183,6 +189,32 @@ def test_evidence_and_samples(spark):
     assert cl.collect_samples(samples).first().generated_responses == [" ", "b"]
 
 
+def test_a_list_without_bound_is_an_error(spark):
+    many = spark.range(1_000_000).selectExpr("'hot' AS claim", "cast(id AS int) AS tool_ord", "'t' AS tool", "'r' AS result", "'p' AS prompt_id", "cast(id AS int) AS member_idx", "'x' AS text")
+    few = spark.createDataFrame([("cold", 0, "a", "one")], "claim string, tool_ord int, tool string, result string")
+    cut = cl.first_rows(many, "claim", "tool_ord", 50)
+    assert cut.count() == 51 and "WindowGroupLimit" in cut._jdf.queryExecution().executedPlan().toString()
+    claims = spark.createDataFrame([("1", 0, "hot"), ("2", 0, "cold")], "id string, claim_idx int, claim string")
+    with pytest.raises(Exception, match="more than 10000 rows of claim hot"):
+        cl.gather_evidence(claims, many.select("claim", "tool_ord", "tool", "result").unionByName(few)).collect()
+    with pytest.raises(Exception, match="more than 10000 rows of prompt_id p"):
+        cl.collect_ensemble(many).collect()
+    assert len(cl.collect_ensemble(many.filter("member_idx < 10000")).first().generated_texts) == 10_000
+
+
+def test_quotas_over_many_classes(spark):
+    r = random.Random(8)
+    rows = [(str(i), f"c{r.randint(0, 400) ** 2 // 400:03d}") for i in range(5000)]
+    df = spark.createDataFrame(rows, "id string, label string")
+    got = {x.label: x.quota for x in sampling.class_quotas(df, "label", lambda total, classes: F.ceil(F.lit(0.15) * total)).collect()}
+    n = {}
+    for _, c in rows:
+        n[c] = n.get(c, 0) + 1
+    base = {c: v * 750 // 5000 for c, v in n.items()}
+    extra = sorted(n, key=lambda c: (-(n[c] * 750 % 5000), c))[: 750 - sum(base.values())]
+    assert got == {c: base[c] + (c in extra) for c in n}
+
+
 @pytest.mark.parametrize("alpha", [-1.0, 0.0, 0.5, 0.9, 1.0])
 def test_neuron_selection(spark, alpha):
     w = np.random.default_rng(2).normal(size=(4, 9))

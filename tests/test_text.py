@@ -1,4 +1,6 @@
 import random
+
+import pytest
 import re
 import sys
 import unicodedata
@@ -110,9 +112,27 @@ def test_segmentation_is_leftmost_longest(spark):
 def test_stop_lists_of_both_kinds_agree(spark):
     df = spark.createDataFrame([("1", "The cat The dog"), ("2", "the"), ("3", "")], "id string, x string")
     stop = spark.createDataFrame([("the",), ("dog",)], "word string")
-    small = {r.id: r.y for r in pp.drop_stopwords(df, "x", "y", stop).collect()}
-    large = {r.id: r.y for r in pp.drop_stopwords(df, "x", "y", stop, inline_limit=1).collect()}
-    assert small == large == {"1": "cat", "2": "", "3": ""}
+    table = {r.id: r.y for r in pp.drop_stopwords(df, {"y": "x"}, stop).collect()}
+    listed = {r.id: r.y for r in pp.drop_stopwords(df, {"y": "x"}, ["the", "dog"]).collect()}
+    assert table == listed == {"1": "cat", "2": "", "3": ""}
+    assert {r.y for r in pp.drop_stopwords(df, {"y": "x"}, stop.limit(0)).collect()} == {"The cat The dog", "the", ""}
+
+
+def test_all_steps_of_preprocessing(spark):
+    df = spark.createDataFrame([("1", "New  York the city", None, "of New York City <b>")], "id string, context string, prompt string, response string")
+    lexicon = spark.createDataFrame([("new york",), ("new york city",), ("alone",), (None,)], "compound string")
+    row = pp.preprocess(df, "hybrid", lexicon, spark.createDataFrame([("the",), ("of",)], "word string")).first()
+    assert (row.context_tok, row.prompt_tok, row.response_tok) == ("new_york city", "", "new_york_city")
+    assert (row.context_token_len, row.prompt_token_len, row.response_token_len) == (2, 0, 1)
+    assert pp.serialize(df, "word_segmented", lexicon).first().serialized_text == "[CLS] New York the city [SEP]  [SEP] of New York City <b> [SEP]"
+    plan = pp.preprocess(df, "hybrid", lexicon)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_lexicon_bound(spark, monkeypatch):
+    monkeypatch.setattr(pp, "MOST_COMPOUNDS", 1)
+    with pytest.raises(ValueError, match="more than 1"):
+        pp.segmenter(spark.createDataFrame([("a b",), ("c d",)], "compound string"))
 
 
 def test_methods(spark):
