@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -91,23 +92,25 @@ class Codec:
             i = -best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def fit(self, last: str, piece: str) -> bool:
-        key = (last, piece)
-        if key not in self.fits:
-            if len(self.fits) >= self.limit:
-                self.fits.clear()
-            self.fits[key] = self.merged(last + piece) == ([last, piece] if last else [piece])
-        return self.fits[key]
+    def fit(self, key: tuple[str, str]) -> bool:
+        """Whether merging leaves the two pieces (the first may be none) as they are."""
+        if len(self.fits) >= self.limit:
+            self.fits.clear()
+        last, piece = key
+        found = self.fits[key] = self.merged(last + piece) == ([last, piece] if last else [piece])
+        return found
 
     def best_path(self, part: str) -> list[str]:
-        best: list[str | None] = [""] + [None] * len(part)
+        best: list[str | None] = [None] * (len(part) + 1)
+        known = self.fits
         for end, piece in self.automaton.iter(part):
-            at = end + 1 - len(piece)
-            for spot in range(at, end + 1):  # characters no piece ends at stand alone
-                if best[spot] is None:
-                    best[spot] = part[spot - 1]
-            if best[end + 1] is None and self.fit(best[at] if at else "", piece):
-                best[end + 1] = piece
+            if best[end + 1] is None:
+                at = end + 1 - len(piece)
+                # all pieces that end at ``at`` have been seen; a character no piece ends at stands alone
+                key = ((best[at] or part[at - 1]) if at else "", piece)
+                fits = known.get(key)
+                if self.fit(key) if fits is None else fits:
+                    best[end + 1] = piece
         path, at = [], len(part)
         while at:
             piece = best[at] or part[at - 1]
@@ -119,8 +122,11 @@ class Codec:
         ids: list[int] = []
         for piece in self.best_path(part):
             i = self.id_of.get(piece)
-            ids.extend([i] if i is not None else [self.byte_ids[b] for b in piece.encode()])
-        return np.array(ids, dtype="<i4").tobytes()
+            if i is None:
+                ids.extend(self.byte_ids[b] for b in piece.encode())
+            else:
+                ids.append(i)
+        return struct.pack(f"<{len(ids)}i", *ids)
 
     def encode(self, text: str) -> bytes:
         if not text:
