@@ -34,13 +34,12 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     means = counts.groupBy("column").agg(
         F.sum("n").alias("count"), (F.sum(n * x) / F.sum("n")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max")
     )
-    # one row per described column on the broadcast side
-    squares = counts.join(F.broadcast(means), "column").groupBy("column").agg(
+    squares = counts.join(means, "column").groupBy("column").agg(
         F.sum(n * (x - F.col("mean")) * (x - F.col("mean"))).alias("squares")
     )
     quartiles = exact_quantiles(counts, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["column"])
     std = F.when(F.col("count") > 1, F.sqrt(F.col("squares") / (F.col("count") - 1)))
-    return means.join(F.broadcast(squares), "column").join(F.broadcast(quartiles), "column").select(
+    return means.join(squares, "column").join(quartiles, "column").select(
         "column", "count", "mean", std.alias("std"), "min", "q25", "q50", "q75", "max"
     )
 
@@ -71,7 +70,7 @@ def box_stats(df: DataFrame, column: str, label: str = LABEL, order: list[str] =
     )
     counts = value_counts(known, "value", ["label"])
     quartiles = exact_quantiles(counts, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["label"])
-    fenced = counts.join(F.broadcast(quartiles), "label").withColumn("_reach", 1.5 * (F.col("q3") - F.col("q1")))
+    fenced = counts.join(quartiles, "label").withColumn("_reach", 1.5 * (F.col("q3") - F.col("q1")))
     inside = F.col("value").between(F.col("q1") - F.col("_reach"), F.col("q3") + F.col("_reach"))
     return fenced.groupBy("label").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),

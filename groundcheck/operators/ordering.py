@@ -68,7 +68,7 @@ def value_counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 def exact_quantiles(counts: DataFrame, value: str, quantiles: dict[str, float], by: list[str]) -> DataFrame:
     """Quantiles with linear interpolation from ``value_counts``, one row per group of the small domain ``by``."""
     totals = counts.groupBy(*by).agg(F.sum("n").alias("_total"))
-    ranked = running_before(counts, value, ["n"], by).join(F.broadcast(totals), by)
+    ranked = running_before(counts, value, ["n"], by).join(totals, by)
 
     def at(rank: Column) -> Column:
         hit = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))

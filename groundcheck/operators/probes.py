@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -39,8 +37,8 @@ def neuron_selection(weights: DataFrame, alpha: float = 0.9) -> DataFrame:
 def construct_hav(states: DataFrame, selection: DataFrame, layers: list[int]) -> DataFrame:
     """``(id, hav)``: over the layers in order, the selected values of the first then of the last step.
 
-    The selection becomes one row per probe, at most 2 x len(layers) rows of the model's width, and
-    is broadcast; a state row picks its values in place.
+    The selection becomes one row per probe, at most 2 x len(layers) rows of the model's width, which Spark broadcasts if it
+    is small; a state row picks its values in place.
     """
     picks = (
         selection.filter(F.col("layer").isin(layers)).groupBy("layer", "step")
@@ -50,7 +48,7 @@ def construct_hav(states: DataFrame, selection: DataFrame, layers: list[int]) ->
     values = F.transform("_dims", lambda d: F.element_at(F.col("h"), d.cast("int") + 1))
     layer_order = F.array_position(F.array(*[F.lit(x) for x in layers]), F.col("layer"))
     step_order = F.array_position(F.array(*[F.lit(s) for s in STEPS]), F.col("step"))
-    parts = states.join(F.broadcast(picks), ["layer", "step"]).select(
+    parts = states.join(picks, ["layer", "step"]).select(
         "id", layer_order.alias("l"), step_order.alias("s"), values.alias("v")
     )
     return parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("l", "s", "v"))).alias("_l")).select(
@@ -87,19 +85,20 @@ def _score_block(states: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
     return out.assign(score=1.0 / (1.0 + np.exp(-z)))
 
 
-def probe_score(states: DataFrame, probes: DataFrame, bias: DataFrame, rows_per_block: int = 4096) -> DataFrame:
+def probe_score(states: DataFrame, probes: DataFrame, bias: DataFrame, rows_per_block: int = 65_536) -> DataFrame:
     """``(id, layer, step, score)``: sigmoid(w2 . relu(W1 h + b1) + b2) with the probe of the state's layer and step.
 
-    States are cut into blocks of about ``rows_per_block`` rows per probe, so a task multiplies one
-    block by one probe whatever the table size; the probe's weights are sent once per block. Weights stand at their input
+    States are cut into blocks of about ``rows_per_block`` rows, each probe into as many as its own states need, so a task multiplies one
+    block by one probe whatever the table size, and a probe's weights travel once unless a single task could not hold its states. The
+    numbers of blocks are a small table inside the plan. Weights stand at their input
     position, absent ones are zeros. A state whose layer and step have no probe is an error.
     ``bias`` is ``(layer, step, b2)``.
     """
-    largest = states.groupBy("layer", "step").count().agg(F.max("count")).first()[0] or 0
-    blocks = max(1, math.ceil(largest / rows_per_block))
-    keys = ["layer", "step", "block"]
-    left = states.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    right = probes.join(bias, ["layer", "step"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    probe = ["layer", "step"]
+    blocks = states.groupBy(*probe).agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("_blocks"))
+    left = states.join(blocks, probe).withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).drop("_blocks")
+    right = probes.join(bias, probe).join(blocks, probe).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    keys = [*probe, "block"]
     row_type = states.schema["id"].dataType.simpleString()
     layer_type = states.schema["layer"].dataType.simpleString()
     return (

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window, functions as F
 
-from ..operators import bayes, blend as bl, boosting, evaluate as ev, models as md, preprocess as pp, replay, sampling, tfidf
+from ..functions import proba as pr
+from ..operators import bayes, blend as bl, boosting, evaluate as ev, features as ft, models as md, preprocess as pp, replay, sampling, tfidf
 from ..schema import LABELS, id_to_label
 from ..session import materialize, scratch_path
 from ..sources import fixtures as fx
 from . import oracle as o
-from .catalog_stats import SCORE_COLUMNS, sources
-from .oracle import sql
+from .catalog_stats import SCORE_COLUMNS
+from .oracle import sql, texts_sql
 from .registry import big, query, r6
 
 # the two vectoriser settings in use: case kept on the serialized text, lower case on the joined clean text
@@ -240,17 +241,19 @@ def predict_classical(spark, sf):
     return out.join(again, "id").select("id", "context", "prompt", "response", (F.col("predict_label") == F.col("again")).alias("replayed"))
 
 
-@query("predict_transformer", sql(["transformer_scores"], f"""
+@query("predict_transformer", texts_sql(["transformer_scores"], f"""
 SELECT t.id, t.prompt, t.response, {o.label_name(o.first_max(['t0', 't1', 't2']))} AS predict_label
 FROM transformer_scores s JOIN triplets t ON t.id = s.id"""))
 def predict_transformer(spark, sf):
-    voted = ev.evaluate_logits(fx.transformer_logits(spark, sf), fx.triplets(spark, sf))
-    return fx.triplets(spark, sf).join(voted.select("id", "predict_label"), "id").select("id", "prompt", "response", "predict_label")
+    votes = fx.text_logits(spark, sf)["transformer"].select("id", pr.argmax_label(pr.softmax(F.col("logits"))).alias("predict_label"))
+    return fx.texts(spark, sf).join(votes, "id").select("id", "prompt", "response", "predict_label")
 
 
-@query("predict_hybrid", sql(["sources"], f"""
+@query("predict_hybrid", texts_sql(["sources"], f"""
 SELECT t.id, t.prompt, t.response, {o.label_name(o.first_max([f'(0.2::DOUBLE * c{j} + 0.3::DOUBLE * t{j} + 0.5::DOUBLE * r{j})' for j in range(3)]))} AS predict_label
 FROM sources s JOIN triplets t ON t.id = s.id"""))
 def predict_hybrid(spark, sf):
-    voted = bl.blend_predict(bl.join_sources(sources(spark, sf)), (0.2, 0.3, 0.5))
-    return fx.triplets(spark, sf).join(voted.select("id", "predict_label"), "id").select("id", "prompt", "response", "predict_label")
+    parts = {name: z.select("id", pr.softmax(F.col("logits")).alias("proba")) for name, z in fx.text_logits(spark, sf).items()}
+    parts["rule"] = ft.rule_proba(ft.rule_features(fx.texts(spark, sf), fx.CUES, fx.HINTS)).select("id", "proba")
+    voted = bl.blend_predict(bl.join_sources(parts), (0.2, 0.3, 0.5))
+    return fx.texts(spark, sf).join(voted.select("id", "predict_label"), "id").select("id", "prompt", "response", "predict_label")

@@ -66,6 +66,12 @@ def fill_text(spark, sf):
     return contracts.fill_text(turns, ["text"])
 
 
+def text_votes(spark, sf):
+    """Every document with the label that the rules give it."""
+    scored = ft.rule_proba(ft.rule_features(fx.texts(spark, sf), fx.CUES, fx.HINTS))
+    return scored.withColumn("predict_label", pr.argmax_label(F.col("proba")))
+
+
 @query("write_preprocessed", texts_sql(["cleaned"], """
 SELECT id, context_clean, lower(response_clean) AS response_tok, CAST(length(prompt_clean) AS BIGINT) AS prompt_char_len FROM cleaned"""))
 def write_preprocessed(spark, sf):
@@ -74,12 +80,12 @@ def write_preprocessed(spark, sf):
     return tables.read_any_csv(spark, path).select("id", "context_clean", "response_tok", big("prompt_char_len")).fillna("")
 
 
-@query("preprocess_stats", sql(["triplets"], """
-SELECT (SELECT count(*) FROM triplets) AS rows, CAST(5 AS BIGINT) AS columns, id, prompt, label
+@query("preprocess_stats", texts_sql(["triplets"], """
+SELECT (SELECT count(*) FROM triplets) AS rows, CAST(4 AS BIGINT) AS columns, id, prompt, response
 FROM triplets ORDER BY id LIMIT 3"""))
 def preprocess_stats(spark, sf):
-    stats = pp.preprocess_stats(fx.triplets(spark, sf))
-    return stats.select("rows", "columns", F.explode("sample_rows").alias("s")).select("rows", "columns", "s.id", "s.prompt", "s.label")
+    stats = pp.preprocess_stats(fx.texts(spark, sf))
+    return stats.select("rows", "columns", F.explode("sample_rows").alias("s")).select("rows", "columns", "s.id", "s.prompt", "s.response")
 
 
 REPORT_SQL = """
@@ -130,19 +136,18 @@ def save_load_model(spark, sf):
     return model.predict(train).join(again, "id").select("id", ((F.col("predict_label") == F.col("l")) & near).alias("same"))
 
 
-@query("write_submission", sql(["rule_votes"], """
+@query("write_submission", texts_sql(["rule_votes"], """
 SELECT t.id, context, prompt, response, predict_label FROM triplets t JOIN rule_votes v ON t.id = v.id"""))
 def write_submission(spark, sf):
-    scored = ft.rule_proba(ft.rule_features(fx.triplets(spark, sf), fx.CUES, fx.HINTS))
     path = scratch_path(spark, "submission")
-    sinks.write_submission(scored.withColumn("predict_label", pr.argmax_label(F.col("proba"))), path)
+    sinks.write_submission(text_votes(spark, sf), path)
     return tables.read_any_csv(spark, path).fillna("")
 
 
-@query("write_label_submission", sql(["rule_votes"], "SELECT id, predict_label AS label FROM rule_votes"))
+@query("write_label_submission", texts_sql(["rule_votes"], "SELECT id, predict_label AS label FROM rule_votes"))
 def write_label_submission(spark, sf):
     path = scratch_path(spark, "label_submission")
-    sinks.write_label_submission(rule_votes(spark, sf).drop("label"), path)
+    sinks.write_label_submission(text_votes(spark, sf), path)
     return tables.read_any_csv(spark, path)
 
 

@@ -53,7 +53,9 @@ def train_classical_job(
     multi_line: bool = True,
 ) -> DataFrame:
     """Fit the classical model on the training rows, report it on the validation rows."""
-    df = sampling.stratified_split(tables.read_train(spark, train_path, multi_line=multi_line), valid_size, seed)
+    # the file is parsed once: the split's counts, the vocabulary and the vectors read the stored rows
+    table = materialize(tables.read_train(spark, train_path, multi_line=multi_line).select("id", "label", "serialized_text"))
+    df = materialize(sampling.stratified_split(table, valid_size, seed))
     model = md.ClassicalModel.fit(df.filter("split = 'train'"), max_iter=max_iter)
     model.save(f"{output_dir}/model")
     return _write_evaluation(model.predict(df.filter("split = 'valid'"), keep=["label"]), output_dir)
@@ -67,8 +69,9 @@ def evaluate_logits_job(
 
     A validation row without logits is an error that counts them, not a smaller report.
     """
-    df = sampling.stratified_sample(tables.read_train(spark, train_path, multi_line=multi_line), sample_size, seed)
-    split = materialize(sampling.stratified_split(df.select("id", "label"), valid_size, seed))
+    table = materialize(tables.read_train(spark, train_path, multi_line=multi_line).select("id", "label"))
+    df = sampling.stratified_sample(table, sample_size, seed)
+    split = materialize(sampling.stratified_split(df, valid_size, seed))
     sinks.write_report(ev.run_metadata(split, config, valid_size), f"{output_dir}/metadata")
     valid = ct.require_partners(split.filter("split = 'valid'"), logits, "the logits")
     return _write_evaluation(ev.evaluate_logits(logits, valid), output_dir)
@@ -83,8 +86,9 @@ def train_hybrid_job(
 
     A validation row that a stored run lacks is an error that counts them.
     """
-    split = sampling.stratified_split(tables.read_train(spark, train_path, multi_line=multi_line), valid_size, seed)
-    rules = ft.rule_proba(ft.rule_features(split.filter("split = 'valid'"))).select("id", "label", "proba")
+    table = materialize(tables.read_train(spark, train_path, multi_line=multi_line).drop("serialized_text"))
+    split = sampling.stratified_split(table, valid_size, seed)
+    rules = materialize(ft.rule_proba(ft.rule_features(split.filter("split = 'valid'"))).select("id", "label", "proba"))
     parts = {
         "classical": spark.read.parquet(f"{classical_dir}/valid"), "transformer": spark.read.parquet(f"{transformer_dir}/valid"),
         "rule": rules,

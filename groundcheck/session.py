@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -72,13 +72,8 @@ def materialize(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a table that is read in fewer splits than there are cores, by its unique key.
 
-    The text work is CPU-bound, and one small file is one task. A table of any size has more splits
-    than cores and is left as it is: no shuffle.
+    The text work is CPU-bound, and one small file is one task. A table with more splits
+    than cores is left as it is: no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
-def broadcast_within(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
-    """Broadcast a table known to hold at most ``rows`` rows, if that is few; else leave the join to Spark."""
-    return F.broadcast(df) if rows <= limit else df

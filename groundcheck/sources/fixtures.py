@@ -36,6 +36,15 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sentences(table(spark, sf_dir, "documents"))
 
 
+def text_logits(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """``classical_logits`` and ``transformer_logits`` of every document, without labels."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id", "n_chars")
+    return {
+        "classical": docs.select("id", _logits(F.col("doc_id"), F.col("n_chars"), 7, 3, 101, 25.0).alias("logits")),
+        "transformer": docs.select("id", _logits(F.col("doc_id"), F.col("n_chars"), 5, 11, 97, 20.0).alias("logits")),
+    }
+
+
 def _sentences(docs: DataFrame, *more: Column | str) -> DataFrame:
     first = F.substring_index(F.ltrim(F.col("text"), F.lit(DOTTED)), ".", 1)
     last = F.substring_index(F.rtrim(F.col("text"), F.lit(DOTTED)), ".", -1)

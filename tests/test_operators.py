@@ -138,7 +138,7 @@ def test_blend_fit_is_never_worse_than_its_start(spark):
     board = bl.blend_scores(df, 4)
     for r in board.collect():
         assert math.isclose(r.macro_f1, ev.scores(bl.blend_predict(df, (r.w_classical, r.w_transformer, r.w_rule))).first().macro_f1)
-    plan = board._jdf.queryExecution().executedPlan().toString()
+    plan = bl.grid_counts(df, bl.weight_grid(4))._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Cartesian" not in plan
 
 
@@ -158,7 +158,7 @@ def test_greedy_clusters_and_entropy(spark, limit):
     groups = {f"p{g}": rng.normal(size=(int(rng.integers(1, 14)), 3)) for g in range(12)}
     rows = [(g, i, [float(x) for x in v]) for g, vs in groups.items() for i, v in enumerate(vs)]
     df = spark.createDataFrame(rows, "id string, sample_idx int, embedding array<double>").repartition(7)
-    got = {(r.id, r.sample_idx): r.center_idx for r in en.greedy_cluster(df, 0.6, limit).collect()}
+    got = {(r.id, r.sample_idx): r.center_idx for r in en.greedy_cluster(df, 0.6, limit, tile=4).collect()}
     want = {(g, i): c for g, vs in groups.items() for i, c in enumerate(greedy(vs, 0.6))}
     assert got == want
     for r in en.semantic_entropy(df, 0.6, limit).collect():
@@ -168,6 +168,19 @@ def test_greedy_clusters_and_entropy(spark, limit):
         assert r.semantic_entropy <= math.log(len(groups[r.id])) + 1e-6
 
 
+def test_large_prompts_are_settled_in_few_rounds(spark):
+    """100,000 samples of which no two are alike, and 3,000 in a few clusters with a chain: the sequential rule's clusters."""
+    rng = np.random.default_rng(4)
+    many = spark.range(100_000).selectExpr("'one' AS id", "cast(id AS int) AS sample_idx", "transform(sequence(1, 12), i -> hash(id, i) / 2147483648D) AS embedding")
+    assert en.greedy_cluster(many, 0.99999).filter("sample_idx = center_idx").count() == 100_000
+    angles = np.concatenate([np.arange(400) * 0.3, rng.uniform(0, 6, 2600)])  # a chain: each matches its neighbours only
+    vectors = np.stack([np.cos(angles), np.sin(angles)], axis=1)
+    rows = [("big", i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [("small", i, [1.0, float(i)]) for i in range(5)]
+    got = {(r.id, r.sample_idx): r.center_idx for r in en.greedy_cluster(spark.createDataFrame(rows, "id string, sample_idx int, embedding array<double>"), 0.95, tile=700).collect()}
+    assert [got["big", i] for i in range(3000)] == greedy(vectors, 0.95)
+    assert [got["small", i] for i in range(5)] == greedy([v for g, _, v in rows if g == "small"], 0.95)
+
+
 def test_report_without_answers_or_label(spark):
     source = spark.createDataFrame([("a", "c", "p", "r", None)], "id string, context string, prompt string, response string, label string")
     samples = spark.createDataFrame([("b", 0, "x", [1.0])], "id string, sample_idx int, response string, embedding array<double>")
