@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .labelled import fold, id_sample, texts_of
+from .labelled import fold, id_sample
 
 SIGNS = b"!?.,;:'\"()[]{}<>#*$%&|@/\\_-+=~^`"
 
@@ -123,16 +123,27 @@ def fit(p: np.ndarray, u: np.ndarray, units: int = 16, steps: int = 400, rate: f
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5, rows: int = 3000, max_bytes: int = 32_768) -> Model:
-    """Fit on at most ``rows`` trusted positives outside the held-out fold and ``rows`` texts without any label, of at most ``max_bytes`` each.
+def feature_rows(docs: DataFrame, ids: DataFrame) -> np.ndarray:
+    """The features of the texts with the given ids, by id. Whole texts are read in the tasks; the driver gets a fixed number of numbers per id."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
 
-    The bound keeps what the driver receives the same for any number of rows. Labels 0 are never read.
+    @F.pandas_udf("array<double>")
+    def measured(text: pd.Series) -> pd.Series:
+        return pd.Series([features(t) for t in text])
+
+    found = texts.select("doc_id", measured("text").alias("x")).toPandas().sort_values("doc_id")["x"]
+    return np.stack(found.tolist()) if len(found) else np.zeros((0, len(SIGNS) + 14))
+
+
+def train(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5, rows: int = 3000) -> Model:
+    """Fit on at most ``rows`` trusted positives outside the held-out fold, and on ``rows`` of all documents as the unlabelled side.
+
+    The unlabelled side is drawn without a look at the labels, so it does not matter how many rows have one. The bounds keep what the driver receives
+    the same for any number of rows; texts count whole. Labels 0 are never read. Without two trusted texts there is nothing to learn
+    from: every text then scores .5. With fewer than 20 texts on a side the class prior is taken as .5.
     """
     trusted = labels.filter((F.col("quality") == 1) & (fold("doc_id", folds) != held_out)).select("doc_id")
-    free = docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti")
-    p, u = (texts_of(docs, id_sample(ids, rows), max_bytes)["text"] for ids in (trusted, free))
-    matrix = lambda texts: np.stack([features(t) for t in texts]) if len(texts) else np.zeros((0, len(SIGNS) + 14))
-    return fit(matrix(p), matrix(u))
+    return fit(*(feature_rows(docs, id_sample(ids, rows)) for ids in (trusted, docs.select("doc_id"))))
 
 
 def quality_of(spark: SparkSession, model: Model):

@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame, functions as F
 from .labelled import fold, id_sample, texts_of
 
 BUCKETS = 1 << 20
-WORDS = re.compile(r"\w+")
+#: A run of more than 200 characters (words joined by underscores, scripts without spaces) counts as several words, one after another.
+WORDS = re.compile(r"\w{1,200}")
 #: Words per window, each distinct one counted once, and the least number a window's sum is divided by (one word alone is no evidence of a share).
 WINDOW, LEAST = 64, 16
 
 
 def subwords(word: str, shortest: int = 3, longest: int = 5) -> list[int]:
     """Buckets of the word and of its character n-grams with borders: a misspelling shares most of them."""
-    marked = f"<{word[:200]}>"
+    marked = f"<{word}>"
     grams = {marked[i : i + n] for n in range(shortest, longest + 1) for i in range(len(marked) - n + 1)}
     return [zlib.crc32(g.encode()) & (BUCKETS - 1) for g in sorted({f"={word}", *grams})]
 
