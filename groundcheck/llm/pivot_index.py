@@ -163,25 +163,34 @@ def blocks(rows: DataFrame, count: Column, own: Column) -> DataFrame:
     return other.select("*", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), (F.col("_own") > F.col("_other")).cast("int").alias("side")).drop("_own", "_other")
 
 
-def shared_pairs(p: int, a: list[np.ndarray], b: list[np.ndarray], same: bool, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) that share at least ``least`` pivots, ``p`` the first of them: shared pivots are counted along the lists. ``same``: i < j only."""
+def shared_pairs(p: int, a: list[np.ndarray], b: list[np.ndarray], same: bool, least: int, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) that share at least ``least`` pivots, ``p`` the first of them. ``same``: i < j only.
+
+    All lists hold ``p``. The entries of the two sides meet along the pivots, about ``most`` meetings at a time, and are counted per pair.
+    """
     def entries(lists):
         of, pivot = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
         order = np.argsort(pivot, kind="stable")
+        order = order[pivot[order] != p]
         return of[order], pivot[order]
 
-    (ia, pa_), (ib, pb) = entries(a), entries(b)
-    values = np.intersect1d(pa_, pb)
-    total = np.zeros(len(a) * len(b), dtype=np.int32)
-    for q in values.tolist():
-        rows = ia[np.searchsorted(pa_, q) : np.searchsorted(pa_, q, "right")]
-        cols = ib[np.searchsorted(pb, q) : np.searchsorted(pb, q, "right")]
-        cells = (rows[:, None] * len(b) + cols[None, :]).ravel()
-        if q < p:
-            total[cells] = -(1 << 30)
-        else:
-            total[cells] += 1
-    i, j = np.divmod(np.flatnonzero(total >= least), len(b))
+    (ia, qa), (ib, qb) = entries(a), entries(b)
+    low = np.searchsorted(qb, qa)
+    count = np.searchsorted(qb, qa, "right") - low
+    ends = np.cumsum(count)
+    shared = np.ones(len(a) * len(b), dtype=np.int64)
+    earlier = np.zeros(len(a) * len(b), dtype=bool)
+    start = 0
+    while start < len(qa):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        n = count[start:stop]
+        at = np.repeat(low[start:stop] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        cells = np.repeat(ia[start:stop], n) * len(b) + ib[at]
+        below = np.repeat(qa[start:stop] < p, n)
+        earlier[cells[below]] = True
+        shared += np.bincount(cells[~below], minlength=len(shared))
+        start = stop
+    i, j = np.divmod(np.flatnonzero((shared >= least) & ~earlier), len(b))
     return (i[i < j], j[i < j]) if same else (i, j)
 
 

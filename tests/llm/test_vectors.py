@@ -171,6 +171,19 @@ def test_near_vectors(spark, settings):
             assert r.n_links == 0 and r.component_id == r.vec_id
 
 
+@pytest.mark.parametrize("most", [1, 40, 1 << 22])
+def test_shared_pairs(most):
+    r = np.random.default_rng(3)
+    lists = lambda n: [np.array(sorted({7, *r.integers(0, 15, r.integers(0, 6)).tolist()})) for _ in range(n)]
+    a, b = lists(20), lists(13)
+    for least in (1, 2, 3):
+        common = lambda x, y: sorted(set(x.tolist()) & set(y.tolist()))
+        want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if len(common(x, y)) >= least and common(x, y)[0] == 7}
+        assert set(zip(*(z.tolist() for z in pivot_index.shared_pairs(7, a, b, False, least, most)))) == want
+        inner = {(i, j) for i, x in enumerate(a) for j, y in enumerate(a) if i < j and len(common(x, y)) >= least and common(x, y)[0] == 7}
+        assert set(zip(*(z.tolist() for z in pivot_index.shared_pairs(7, a, a, True, least, most)))) == inner
+
+
 def test_recall_at_the_threshold(spark):
     """Pairs whose cosine is the threshold itself, the hardest ones: at least 0.97 of them are found, against the 0.9 asked for."""
     r = np.random.default_rng(9)
