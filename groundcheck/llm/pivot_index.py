@@ -49,7 +49,11 @@ class Settings:
 
 
 def units(batch: pa.RecordBatch, column: str, d: int) -> np.ndarray:
-    x = batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+    """The vectors of a batch, in double precision and of unit length."""
+    return scaled(batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d))
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True, initial=np.finfo(float).tiny)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -69,6 +73,11 @@ def linkable(vector: Column) -> Column:
     return usable(vector) & F.coalesce(F.exists(vector, lambda c: c != 0), F.lit(False))
 
 
+def kind_of(vectors: DataFrame) -> str:
+    """Vectors travel as the input has them, floats as floats; tasks scale them in double precision."""
+    return vectors.schema["v"].dataType.simpleString()
+
+
 def draw_pivots(classes: DataFrame, d: int, s: Settings) -> np.ndarray:
     """Unit vectors of the rows with the least hashes, at most ``s.pivots``; of two that would be linked only one stays, so that a large
     group of edited copies gives no more pivots than any other place."""
@@ -83,7 +92,7 @@ def draw_pivots(classes: DataFrame, d: int, s: Settings) -> np.ndarray:
 
 
 def describe(classes: DataFrame, pivots: np.ndarray, s: Settings) -> DataFrame:
-    """``classes`` with ``v`` as a unit vector and ``perm``, its nearest pivots in order (ties by number)."""
+    """``classes`` with ``perm``, the nearest pivots of each vector in order (ties by number)."""
     d, k = pivots.shape[1], min(s.near, len(pivots))
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
 
@@ -95,14 +104,13 @@ def describe(classes: DataFrame, pivots: np.ndarray, s: Settings) -> DataFrame:
                 far = -(v @ shared.value.T)
                 perm = np.sort(np.argpartition(far, k - 1, axis=1)[:, :k], axis=1)
                 perm = np.take_along_axis(perm, np.argsort(np.take_along_axis(far, perm, 1), axis=1, kind="stable"), 1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c) for c in ("cid", "h", "copies")] + [nested(v), nested(perm.astype(np.int32))], ["cid", "h", "copies", "v", "perm"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, nested(perm.astype(np.int32))], [*batch.schema.names, "perm"])
 
-    return classes.select("cid", "h", "copies", "v").mapInArrow(run, "cid long, h long, copies long, v array<double>, perm array<int>")
+    return classes.select("cid", "h", "copies", "v").mapInArrow(run, f"cid long, h long, copies long, v {kind_of(classes)}, perm array<int>")
 
 
-def gather_balls(described: DataFrame, d: int, s: Settings) -> DataFrame:
-    """``described`` with ``ball`` (null: none) and ``near``, the cosine to the ball's leader.
+def gather_balls(described: DataFrame, d: int, s: Settings) -> tuple[DataFrame, list]:
+    """``described`` with ``ball`` (null: none) and ``near``, the cosine to the ball's leader; and the leaders of the balls.
 
     Leaders are the vectors of least hash, for ``s.leaders`` hashes, among those with the same nearest pivot: a group that
     holds much of a place gives its leader with as much probability. A vector joins the leader that most vectors can join, so that a group cut
@@ -137,17 +145,18 @@ def gather_balls(described: DataFrame, d: int, s: Settings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(ball.astype(np.int64), mask=none), pa.array(cos[np.arange(len(ball)), ball], mask=none)], [*batch.schema.names, "ball", "near"])
 
-    return described.mapInArrow(join, "cid long, h long, copies long, v array<double>, perm array<int>, ball long, near double"), x[order]
+    vectors = leaders.column("v").to_pylist()
+    return described.mapInArrow(join, f"cid long, h long, copies long, v {kind_of(described)}, perm array<int>, ball long, near double"), [vectors[i] for i in order]
 
 
-def entities_of(members: DataFrame, centers: np.ndarray) -> tuple[DataFrame, DataFrame]:
+def entities_of(members: DataFrame, centers: list) -> tuple[DataFrame, DataFrame]:
     """(members, entities). Balls and single vectors are the entities: e1 (smallest id), e2, size (rows), parts (members), near (least
     cosine to the center), v (center), pivots (of all members). Balls are at most as many as leaders, so what describes them is broadcast."""
     spark = members.sparkSession
     in_ball = members.filter("ball is not null")
     balls = in_ball.groupBy("ball").agg(F.min("cid").alias("e1"), F.sum("copies").alias("size"), F.count(F.lit(1)).alias("parts"), F.min("near").alias("near"))
     lists = in_ball.select("ball", F.explode("perm").alias("p")).distinct().groupBy("ball").agg(F.collect_list("p").alias("pivots"))
-    center = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "ball long, v array<double>")
+    center = spark.createDataFrame(list(enumerate(centers)), f"ball long, v {kind_of(members)}")
     balls = materialize(balls.join(lists, "ball").join(center, "ball").withColumn("e2", -F.col("ball") - 1))
     one = members.filter("ball is null").select(
         F.col("cid").alias("e1"), F.col("h").alias("e2"), F.col("copies").alias("size"), F.lit(1).cast("long").alias("parts"), F.lit(1.0).alias("near"), "v", F.col("perm").alias("pivots"))
@@ -229,7 +238,7 @@ def compare_lists(entities: DataFrame, s: Settings, least: int) -> DataFrame:
         if not len(a) or not len(b):
             return records(0, np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
         i, j = shared_pairs(p, a["pivots"].tolist(), b["pivots"].tolist(), lo == hi, least)
-        va, vb = np.stack(a["v"].tolist()), np.stack(b["v"].tolist())
+        va, vb = (scaled(np.stack(t["v"].tolist()).astype(float)) for t in (a, b))
         cos = np.concatenate([np.einsum("ij,ij->i", va[i[x : x + 8192]], vb[j[x : x + 8192]]) for x in range(0, len(i) + 1, 8192)])
         reach = lambda x: np.arccos(np.clip(x, -1, 1))
         spread = reach(a["near"].to_numpy())[i] + reach(b["near"].to_numpy())[j]
@@ -272,7 +281,8 @@ def compare_members(open_: DataFrame, members: DataFrame, entities: DataFrame, s
         a, b = rows[rows["side"] == "a"], rows[rows["side"] == "b"]
         if not len(a) or not len(b):
             return records(0, np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-        link = np.stack(a["v"].tolist()) @ np.stack(b["v"].tolist()).T >= s.threshold
+        va, vb = (scaled(np.stack(t["v"].tolist()).astype(float)) for t in (a, b))
+        link = va @ vb.T >= s.threshold
         degree = np.concatenate([link @ b["copies"].to_numpy(), a["copies"].to_numpy() @ link])
         keys = np.vstack([a[["cid", "h"]].to_numpy(), b[["cid", "h"]].to_numpy()])
         ends_ = np.array([key[:4]], dtype=np.int64).reshape(-1, 4)[: int(link.any())]

@@ -136,14 +136,15 @@ def feature_rows(docs: DataFrame, ids: DataFrame) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5, rows: int = 3000) -> Model:
-    """Fit on at most ``rows`` trusted positives outside the held-out fold, and on ``rows`` of all documents as the unlabelled side.
+    """Fit on at most ``rows`` trusted positives outside the held-out fold, and on ``rows`` of all other documents as the unlabelled side.
 
-    The unlabelled side is drawn without a look at the labels, so it does not matter how many rows have one. The bounds keep what the driver receives
+    The unlabelled side is drawn without a look at the labels 0 or at those of the held-out fold, so it does not matter how many rows have one. The bounds keep what the driver receives
     the same for any number of rows; texts count whole. Labels 0 are never read. Without two trusted texts there is nothing to learn
     from: every text then scores .5. With fewer than 20 texts on a side the class prior is taken as .5.
     """
     trusted = labels.filter((F.col("quality") == 1) & (fold("doc_id", folds) != held_out)).select("doc_id")
-    return fit(*(feature_rows(docs, id_sample(ids, rows)) for ids in (trusted, docs.select("doc_id"))))
+    others = docs.select("doc_id").join(trusted, "doc_id", "left_anti")
+    return fit(*(feature_rows(docs, id_sample(ids, rows)) for ids in (trusted, others)))
 
 
 def quality_of(spark: SparkSession, model: Model):
