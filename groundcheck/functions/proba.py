@@ -36,6 +36,7 @@ def argmax_label(proba: Column) -> Column:
 
 def rule_proba(overlap_ctx: Column, overlap_prompt: Column, neg: Column, hint: Column) -> Column:
     """Scores of the three labels from the rule features, floored and scaled to sum to 1."""
+    # The weights of the rules.
     no = (0.55 * overlap_ctx + 0.25 * overlap_prompt) * (1.0 - 0.4 * neg)
     intrinsic = 0.6 * neg + 0.2 * (1.0 - overlap_ctx)
     extrinsic = 0.6 * hint + 0.3 * (1.0 - overlap_prompt)

@@ -113,6 +113,9 @@ def clean_token_len(col: Column) -> Column:
     return F.when(col == "", 0).otherwise(gaps + 1)
 
 
+# The marker form and the three prompt texts below, as models were trained on them.
+
+
 def serialize_triplet(context: Column, prompt: Column, response: Column) -> Column:
     """Join three normalised texts with the marker tokens."""
     return F.format_string("[CLS] %s [SEP] %s [SEP] %s [SEP]", context, prompt, response)

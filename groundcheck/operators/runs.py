@@ -24,8 +24,8 @@ def run_grid(models: DataFrame, lengths: list[int], text_mode: str = "auto") ->
     limit = supported_length(F.col("model_type"), F.col("max_position_embeddings"))
     too_long = F.coalesce(F.col("max_length") > limit, F.lit(False))
     error = F.concat(
-        F.col("model_name"), F.lit(" supports max_length <= "), limit.cast("string"),
-        F.lit("; requested "), F.col("max_length").cast("string"), F.lit("."),
+        F.lit("length "), F.col("max_length").cast("string"), F.lit(" is over the limit of "), F.col("model_name"),
+        F.lit(" ("), limit.cast("string"), F.lit(")"),
     )
     return grid.select(
         run_name(F.col("model_name"), F.col("max_length")).alias("run_name"), "model_name", "max_length",

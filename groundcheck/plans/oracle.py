@@ -205,7 +205,7 @@ grid AS (
   SELECT trim(regexp_replace(model_name, '[^A-Za-z0-9_.-]+', '_', 'g'), '_') || '_len' || max_length AS run_name,
     model_name, max_length, CASE WHEN contains(lower(model_name), 'phobert') THEN 'word_segmented' ELSE 'raw' END AS text_mode,
     CASE WHEN coalesce(max_length > supported, false) THEN 'unsupported' ELSE 'running' END AS status,
-    CASE WHEN max_length > supported THEN model_name || ' supports max_length <= ' || supported || '; requested ' || max_length || '.' END AS error,
+    CASE WHEN max_length > supported THEN 'length ' || max_length || ' is over the limit of ' || model_name || ' (' || supported || ')' END AS error,
     CASE WHEN max_length > supported THEN 0.0 END AS elapsed_minutes
   FROM (SELECT *, unnest([256, 512]) AS max_length FROM grid_limits))"""),
     "run_scores": ([], r"""run_scores AS (

@@ -34,6 +34,7 @@ METHODS = SEGMENTING_METHODS + ["xlm-roberta"] + PROMPTING_METHODS
 # Starting blend weights (classical, transformer, rule).
 DEFAULT_BLEND = (0.40, 0.50, 0.10)
 
+# The names of the feature columns, in their order.
 RULE_FEATURES = [
     "overlap_ctx_resp", "overlap_prompt_resp", "neg_mismatch", "extrinsic_hint", "response_length_ratio",
 ]

@@ -329,7 +329,7 @@ def test_run_tables(spark):
     grid = runs.run_grid(models, [256, 512])
     rows = {r.run_name: r for r in grid.collect()}
     assert set(rows) == {"org_PhoBERT_v2_len256", "org_PhoBERT_v2_len512", "m_len256", "m_len512"}
-    assert rows["org_PhoBERT_v2_len512"].status == "unsupported" and rows["org_PhoBERT_v2_len512"].error == "org/PhoBERT v2 supports max_length <= 256; requested 512."
+    assert rows["org_PhoBERT_v2_len512"].status == "unsupported" and rows["org_PhoBERT_v2_len512"].error == "length 512 is over the limit of org/PhoBERT v2 (256)"
     scores = spark.createDataFrame([("m_len256", 0.5, 0.6, None)], "run_name string, macro_f1 double, accuracy double, elapsed_minutes double")
     done = {r.run_name: r for r in runs.skip_done(grid, scores).collect()}
     assert done["m_len256"].status == "skipped" and done["m_len256"].elapsed_minutes == 0.0 and done["m_len512"].status == "running"
