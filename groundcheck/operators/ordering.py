@@ -35,7 +35,7 @@ def running_before(
 ) -> DataFrame:
     """Add ``{w}_before``: the sum of ``w`` over all smaller values of the same ``by`` group.
 
-    ``counts`` holds one row per (by, value) and should be stored: it is read three times. Spark's range partitioning cuts it
+    ``counts`` holds one row per (by, value) and should be stored or small: it is read again for the slices. Spark's range partitioning cuts it
     into ``slices`` by value (without the parameter one per ``SLICE_ROWS`` rows, so tasks keep their size as the table grows).
     The slice is stored with the rows. Only one row per slice and group passes through the window that adds up whole slices.
     """

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
-from .ordering import running_before
+from .ordering import SLICE_ROWS, running_before
 
 PREFIX = 4  # hex digits, so 65,536 prefixes per class
 
@@ -28,13 +28,14 @@ def class_quotas(df: DataFrame, label: str, draws) -> DataFrame:
     slices, so a label column of any size is ordered by many tasks.
     """
     counts = materialize(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")))
-    totals = counts.agg(F.struct(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("classes")).alias("t")).scalar()
-    wanted = counts.withColumn("_total", totals["rows"]).withColumn("_draws", draws(F.col("_total"), totals["classes"]).cast("long"))
-    shares = materialize(wanted.select(
-        label, "_draws", F.expr("(_n * _draws) div _total").alias("_base"), F.expr("(_n * _draws) % _total").alias("_rest"), F.lit(1).alias("_one"),
-    ).withColumn("_order", F.struct(-F.col("_rest"), F.col(label))))
+    # two numbers, whatever the classes
+    total, classes = counts.agg(F.sum("_n"), F.count(F.lit(1))).first()
+    wanted = counts.withColumn("_draws", draws(F.lit(total).cast("long"), F.lit(classes).cast("long")).cast("long"))
+    shares = wanted.select(
+        label, "_draws", F.expr(f"(_n * _draws) div {total or 1}").alias("_base"), F.expr(f"(_n * _draws) % {total or 1}").alias("_rest"), F.lit(1).alias("_one"),
+    ).withColumn("_order", F.struct(-F.col("_rest"), F.col(label)))
     left = F.col("_draws") - shares.agg(F.sum("_base")).scalar()
-    ranked = running_before(shares, "_order", ["_one"])
+    ranked = running_before(shares, "_order", ["_one"], slices=-(-max(classes, 1) // SLICE_ROWS))
     return ranked.select(label, (F.col("_base") + (F.col("_one_before") < left).cast("long")).alias("quota"))
 
 
