@@ -81,11 +81,13 @@ def write_preprocessed(spark, sf):
 
 
 @query("preprocess_stats", texts_sql(["triplets"], """
-SELECT (SELECT count(*) FROM triplets) AS rows, CAST(4 AS BIGINT) AS columns, id, prompt, response
+SELECT (SELECT count(*) FROM triplets) AS rows, CAST(5 AS BIGINT) AS columns, id, context, prompt, response,
+  CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN label END AS label
 FROM triplets ORDER BY id LIMIT 3"""))
 def preprocess_stats(spark, sf):
-    stats = pp.preprocess_stats(fx.texts(spark, sf))
-    return stats.select("rows", "columns", F.explode("sample_rows").alias("s")).select("rows", "columns", "s.id", "s.prompt", "s.response")
+    """Of every document with its label: all rows are counted, and the first records are shown with all their columns."""
+    stats = pp.preprocess_stats(fx.all_triplets(spark, sf))
+    return stats.select("rows", "columns", F.explode("sample_rows").alias("s")).select("rows", "columns", "s.*")
 
 
 REPORT_SQL = """

@@ -389,3 +389,25 @@ def test_jobs_refuse_unknown_labels_and_missing_logits(spark, tmp_path):
     logits = df.filter("id <> '3'").select("id", F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)).alias("logits"))
     with pytest.raises(ValueError, match="1 rows have no partner in the logits"):
         jobs.predict_job(spark, str(tmp_path / "s"), str(tmp_path / "sub"), "transformer", logits=logits)
+
+
+def test_statistics_read_all_documents_with_their_labels(spark, tmp_path):
+    from groundcheck.plans.catalog import QUERIES
+
+    spark.createDataFrame([(1, "a. b", "de", "s", 4), (2, "c", "de", "s", 1), (3, "d", "de", "s", 1), (4, "e", "de", "s", 1)],
+        "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = [(r.rows, r.columns, r.id, r.context, r.prompt, r.response, r.label) for r in QUERIES["preprocess_stats"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(4, 5, "1", "a. b", "a", "b", "extrinsic"), (4, 5, "2", "c", "c", "c", None), (4, 5, "3", "d", "d", "d", "no")]
+
+
+def test_probe_score_holds_tiles(spark):
+    import tracemalloc
+
+    r = np.random.default_rng(2)
+    inputs, weights, b1, w2 = r.normal(size=(5_000, 8)), r.normal(size=(6_000, 8)), r.normal(size=6_000), r.normal(size=6_000)
+    tracemalloc.start()
+    z = pb.hidden_sums(inputs, weights, b1, w2)
+    assert tracemalloc.get_traced_memory()[1] < 100e6  # all pairs at once take 240 MB
+    tracemalloc.stop()
+    assert np.allclose(z[::97], np.maximum(inputs[::97] @ weights.T + b1, 0) @ w2)
