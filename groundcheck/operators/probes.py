@@ -69,6 +69,18 @@ def pack_probes(weights: DataFrame, outputs: DataFrame) -> DataFrame:
     return outputs.select(*keys, "b1", "w2").join(packed, keys, "left").select(*keys, "dims", "w1", "b1", "w2")
 
 
+def hidden_sums(inputs: np.ndarray, weights: np.ndarray, b1: np.ndarray, w2: np.ndarray, rows: int = 2_048, neurons: int = 2_048) -> np.ndarray:
+    """w2 . relu(W1 h + b1) of each input row: ``rows`` states meet ``neurons`` neurons at a time, so what is held does not grow with their product."""
+    z = np.zeros(len(inputs))
+    for i in range(0, len(inputs), rows):
+        for j in range(0, len(weights), neurons):
+            hidden = inputs[i : i + rows] @ weights[j : j + neurons].T
+            hidden += b1[j : j + neurons]
+            np.maximum(hidden, 0.0, out=hidden)
+            z[i : i + rows] += hidden @ w2[j : j + neurons]
+    return z
+
+
 def _score_block(states: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
     out = states[["id", "layer", "step"]].copy()
     if states.empty:
@@ -80,8 +92,7 @@ def _score_block(states: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
     for row, dims, w in zip(weights, probe["dims"], probe["w1"]):
         if dims is not None:
             row[np.asarray(dims)] = w
-    hidden = inputs @ weights.T + probe["b1"].to_numpy()
-    z = np.maximum(hidden, 0.0) @ probe["w2"].to_numpy() + float(probe["b2"].iloc[0])
+    z = hidden_sums(inputs, weights, probe["b1"].to_numpy(), probe["w2"].to_numpy()) + float(probe["b2"].iloc[0])
     return out.assign(score=1.0 / (1.0 + np.exp(-z)))
 
 
