@@ -173,3 +173,42 @@ def test_side_by_side_raises_the_failure(spark):
     assert md.side_by_side({"a": lambda: 1, "b": lambda: 2}) == {"a": 1, "b": 2}
     with pytest.raises(KeyError):
         md.side_by_side({"a": lambda: 1, "b": fail})
+
+
+def test_network_gradient_and_fit(spark):
+    from groundcheck.operators import network
+
+    x, y, rows = sparse_table(70, 6, 7)
+    df = frame(spark, rows).repartition(3).selectExpr("features", "label_id", "1.0D AS weight")
+    layers = [6, 4, K]
+    start = np.random.default_rng(3).normal(size=6 * 4 + 4 + 4 * K + K)
+    value, gradient = network.network_pass(linear.packed(df), layers, start)
+    (w1, b1), (w2, b2) = network.matrices(layers, start)
+    plain = lambda: linear.softmax_loss(1 / (1 + np.exp(-(x @ w1 + b1))) @ w2 + b2, y, np.ones(len(y)))[0]  # noqa: E731  (views of start)
+    assert math.isclose(value, plain())
+    for j in (0, 13, 25, 30, len(start) - 1):
+        up, down = [(start.__setitem__(j, start[j] + e), plain())[1] for e in (1e-6, -2e-6)]
+        start[j] += 1e-6
+        assert math.isclose(gradient[j], (up - down) / 2e-6, rel_tol=1e-4, abs_tol=1e-5)
+    model = md.estimators(70, 6, mlp_hidden=(6, 4), mlp_iter=60)["MLP (TF-IDF)"].fit(df)
+    right = np.mean([r.prediction == r.label_id for r in model.transform(df).collect()])
+    assert right > 0.8 and model.layers == [6, 6, 4, K]
+
+
+def test_passes_do_not_pay_for_tasks_that_grow_with_the_rows(spark):
+    many = spark.range(0, 400, 1, 40)
+    assert md.for_passes(many, 80_000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert md.for_passes(many, 3_000).rdd.getNumPartitions() == 2
+
+
+def test_packed_rows_keep_empty_vectors(spark):
+    rows = [(str(i), i % K, "no", Vectors.sparse(4, [] if i % 3 else [(i % 4, 2.0)])) for i in range(12)]
+    df = frame(spark, rows).selectExpr("features", "label_id", "1.0D AS weight").coalesce(1)
+    w, b = np.arange(12.0).reshape(4, K), np.ones(K)
+    x = np.stack([r[3].toArray() for r in rows])
+    assert math.isclose(linear.loss_pass(linear.packed(df), w, b, linear.softmax_loss)[0], linear.softmax_loss(x @ w + b, np.arange(12) % K, np.ones(12))[0])
+
+
+def test_a_batch_is_counted_in_small_slices():
+    words = pa.ListArray.from_arrays(pa.array(range(0, 1_000_001, 500), pa.int32()), pa.array(["aa"] * 1_000_000))
+    assert max(len(p.column("w").flatten()) for p in tfidf._slices(pa.RecordBatch.from_pydict({"w": words}), "w")) <= 200_000
