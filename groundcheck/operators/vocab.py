@@ -15,6 +15,8 @@ from .ordering import top_rows
 MAX_SIZE = 20_000
 #: A vocabulary is held by every task; larger ones are refused.
 MOST_TOKENS = 2_000_000
+#: Texts whose tokens are counted or looked up at once, whatever a batch holds.
+TEXTS_AT_ONCE = 1_024
 
 # The two reserved entries.
 PAD, UNK = ("<PAD>", 0), ("<UNK>", 1)
@@ -25,7 +27,8 @@ def token_counts(df: DataFrame, column: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(batch.column("t").flatten().value_counts().flatten(), ["token", "n"])
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                yield pa.RecordBatch.from_arrays(batch.column("t").slice(at, TEXTS_AT_ONCE).flatten().value_counts().flatten(), ["token", "n"])
 
     found = df.select(ws_tokenize(F.col(column)).alias("t")).mapInArrow(run, "token string, n long")
     return found.groupBy("token").agg(F.sum("n").alias("n"))
@@ -54,7 +57,7 @@ def encode_sequence(df: DataFrame, column: str, vocab: DataFrame, max_len: int =
         raise ValueError(f"the vocabulary holds more than {MOST_TOKENS} tokens")
     held = df.sparkSession.sparkContext.broadcast((pa.array(table.column("token").to_pylist(), pa.string()), table.column("token_id").to_numpy().astype(np.int32)))
 
-    def encode(tokens: pa.Array) -> pa.Array:
+    def some(tokens: pa.Array) -> pa.Array:
         names, numbers = held.value
         at = pc.index_in(tokens.flatten(), value_set=names)
         found = np.append(numbers, UNK[1])[pc.fill_null(at, len(numbers)).to_numpy(zero_copy_only=False)]
@@ -63,5 +66,8 @@ def encode_sequence(df: DataFrame, column: str, vocab: DataFrame, max_len: int =
         out[np.arange(max_len) < sizes[:, None]] = found
         return pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * max_len), pa.array(out.ravel()))
 
+    def encode(tokens: pa.Array) -> pa.Array:
+        return pa.concat_arrays([some(tokens.slice(i, TEXTS_AT_ONCE)) for i in range(0, max(len(tokens), 1), TEXTS_AT_ONCE)])
+
     first = F.slice(ws_tokenize(F.col(column)), 1, max_len)
     return df.select(row_id, F.arrow_udf(encode, "array<int>")(first).alias("token_ids"))
