@@ -212,3 +212,24 @@ def test_packed_rows_keep_empty_vectors(spark):
 def test_a_batch_is_counted_in_small_slices():
     words = pa.ListArray.from_arrays(pa.array(range(0, 1_000_001, 500), pa.int32()), pa.array(["aa"] * 1_000_000))
     assert max(len(p.column("w").flatten()) for p in tfidf._slices(pa.RecordBatch.from_pydict({"w": words}), "w")) <= 200_000
+
+
+def test_a_task_sends_each_sum_once(spark, monkeypatch):
+    _, y, rows = sparse_table(96, 6)
+    df = frame(spark, rows).coalesce(1)
+    bins = bo.Bins(np.full((6, 3), np.inf))
+    blocks = bo.block_table(df, spark.sparkContext.broadcast(bins), np.zeros(K), 8)
+    kind = type(blocks)
+    held = []
+    grouped = kind.groupBy
+    monkeypatch.setattr(kind, "groupBy", lambda self, *c: (held.extend(self.collect()), grouped(self, *c))[1])
+    trees = bo.Trees.empty(1, 2)
+    bo.level_pass(blocks, trees.part(0, 0), trees, 0, None, 4, 0.1, 1)
+    keys = [k for r in held for k in np.frombuffer(bytes(r["key"]), np.int64) if k >= 0]
+    assert len(keys) == len(set(keys)) == 6 * K  # 12 blocks; each sent its own before
+
+
+def test_sums_of_equal_keys():
+    key, sums = bo.added_up(np.array([5, 7, 2, 5]), np.arange(12.0).reshape(4, 3))
+    assert key.tolist() == [2, 5, 7] and sums.tolist() == [[6, 7, 8], [9, 11, 13], [3, 4, 5]]
+    assert len(bo.added_up(np.zeros(0, np.int64), np.zeros((0, 3)))[0]) == 0
