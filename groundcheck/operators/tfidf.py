@@ -26,7 +26,7 @@ MAX_FEATURES = 120_000
 #: The vocabulary is held by every task; larger ones are refused (2 million terms are about 60 MB).
 MOST_FEATURES = 2_000_000
 #: Words of which the counts are worked out at once, whatever the length of a batch's texts.
-SLICE_WORDS = 2_000_000
+SLICE_WORDS = 200_000
 
 
 def tfidf_terms(text: Column, lowercase: bool = False) -> Column:
