@@ -148,3 +148,15 @@ def test_filters_go_below_normalisation(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("Filter")
     assert sorted(r.n for r in out.collect()) == ["", "\u00e9"]
+
+
+def test_slices_of_a_batch_meet_without_loss(spark):
+    from groundcheck.operators import preprocess as pp, vocab
+
+    assert pp.TEXTS_AT_ONCE < 2_500 > vocab.TEXTS_AT_ONCE
+    df = spark.range(0, 2_500, 1, 1).selectExpr("id", "concat('aa bb é', id % 7) AS t")
+    lexicon = spark.createDataFrame([("aa bb",)], "compound string")
+    assert {(r.id, r.s) for r in pp.segment_words(df, "t", "s", lexicon).collect()} == {(i, f"aa_bb é{i % 7}") for i in range(2_500)}
+    names = vocab.build_vocab(df, "t", 100)
+    ids = {r.token: r.token_id for r in names.collect()}
+    assert {(r.id, *r.token_ids) for r in vocab.encode_sequence(df, "t", names, 4).collect()} == {(i, ids["aa"], ids["bb"], ids[f"é{i % 7}"], 0) for i in range(2_500)}
