@@ -224,6 +224,17 @@ def test_near_lines_of_registered_defaults(spark):
     assert got == want and 20 < sum(want.values()) < len(want) - 20
 
 
+def test_unlike_lines_with_one_beginning_are_not_compared(spark, monkeypatch):
+    """Lines that share their first words only: the rarest segments are tried, so few pairs are formed. Two of them are near."""
+    rng = random.Random(5)
+    lines = ["the same beginning of quite many a line " + " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 7))) for _ in range(60)) for _ in range(300)]
+    lines.append(lines[7][:-4] + "xy")
+    pairs, within = [], line_dedup.within
+    monkeypatch.setattr(line_dedup, "within", lambda p, *rest: pairs.append(p.count()) or within(p, *rest))
+    got = line_dedup.marked_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).filter("near").collect()
+    assert [r.id for r in got] == [300] and sum(pairs) < 300
+
+
 def test_line_dedup_text(spark, odd):
     data = [(1, "one common line of text, long enough\n\nshort\n alone "), (2, "short\none common line of text, long enougH\nfresh"), (3, "alone"), (None, "short")]
     out = {r.doc_id: (r.text, r._exact, r._near) for r in line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
