@@ -2,12 +2,14 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -18,6 +20,7 @@ from groundcheck.llm import (  # noqa: E402
 )
 from groundcheck.llm.common import components  # noqa: E402
 from groundcheck.llm.queries import ORACLE, QUERIES  # noqa: E402
+from groundcheck.session import shared_folder  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 BPE, PIECES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
@@ -243,6 +246,21 @@ def test_line_dedup_text(spark, odd):
     assert kept[1] is None and kept[5].count("first of the copy") == 1 and kept[6] == ""
 
 
+def test_line_dedup_keeps_one_stored_table(spark):
+    """Of all tables it stores, only the list of lines to drop outlives the call; rows that repeat an id and a line change nothing."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 7))) for _ in range(400)]
+    lines = [" ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(200)]
+    lines += [x[:-1] + "z" for x in lines[::3]] + lines[::5]
+    rows = [(i // 4, line) for i, line in enumerate(lines)]
+    folder = shared_folder(spark)
+    before = set(os.listdir(folder))
+    out = line_dedup.dedup_lines(spark.createDataFrame([*rows, rows[3]], "doc_id long, text string"))
+    assert len({x for x in os.listdir(folder) if x.startswith("stage")} - before) == 1
+    got = out.agg(F.sum("_exact"), F.sum("_near")).first()
+    assert got[0] >= 40 and got[1] > 20
+
+
 def brute_repeats(words):
     at = collections.defaultdict(list)
     for i in range(len(words) - 2):
