@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 from groundcheck.operators import boosting as bo, linear, models as md, replay, tfidf
 
@@ -229,6 +229,23 @@ def test_a_task_sends_each_sum_once(spark, monkeypatch):
     assert len(keys) == len(set(keys)) == 6 * K  # 12 blocks; each sent its own before
 
 
+def test_each_share_meets_in_a_task_of_its_own(spark):
+    names = bo.share_keys(spark, 8)
+    parts = spark.createDataFrame([(int(k),) for k in names], "share int").repartition(8, "share").select(F.spark_partition_id().alias("p"))
+    assert parts.distinct().count() == len(set(names)) == 8
+
+
+def test_blocks_are_cut_by_entries_and_sorted_by_cell(spark, monkeypatch):
+    _, y, rows = sparse_table(96, 6)
+    sizes = [len(v.indices) for *_, v in rows]
+    monkeypatch.setattr(bo, "BLOCK_ENTRIES", 20)
+    blocks = bo.block_table(frame(spark, rows).coalesce(1), spark.sparkContext.broadcast(bo.Bins(np.full((6, 3), np.inf))), np.zeros(K), 8192).collect()
+    assert sum(b.rows for b in blocks) == 96 and sum(len(b.place) // 4 for b in blocks) == sum(sizes) and len(blocks) > 3
+    for b in blocks:
+        code = np.frombuffer(bytes(b.code), np.int32)
+        assert (np.diff(code) >= 0).all() and (len(code) <= 20 or b.rows == 1)
+
+
 def test_sums_of_equal_keys():
     key, sums = bo.added_up(np.array([5, 7, 2, 5]), np.arange(12.0).reshape(4, 3))
     assert key.tolist() == [2, 5, 7] and sums.tolist() == [[6, 7, 8], [9, 11, 13], [3, 4, 5]]
